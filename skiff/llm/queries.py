@@ -5,18 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skiff.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.best_fit_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.segment_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.suffix_dedup import suffix_dedup
+
+    cut = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
