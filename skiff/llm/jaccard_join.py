@@ -95,11 +95,25 @@ def doc_sets(batch: pa.RecordBatch, k: int, cost: np.ndarray | None) -> Iterator
             yield i + d, u, weight[mine[first]] if weight is not None else None
 
 
+def parity(u: np.ndarray) -> np.ndarray:
+    """A bitmap of at least two bits for each hash: bit i is the parity of the hashes that fall on i.
+
+    Two bitmaps differ in no more bits than their sets differ in members. Its length is a power of two,
+    and its halves xored are the bitmap of half the length.
+    """
+    words = 1 << max(0, (len(u) - 1) // 32).bit_length()
+    bits = np.bincount((u >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+SKETCH = "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>, bits array<long>"
+
+
 def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFrame:
-    """doc_id, text_key, n (set size), fp (digest of the set), gid (of size and prefix) and the prefix in order."""
+    """n (set size), fp (digest of the set), gid (of size and prefix), the prefix in order, and the bitmap."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, fp, gid, prefix = [], [], [], []
+        n, fp, gid, prefix, bits = [], [], [], [], []
         for _, u, w in doc_sets(batch, k, cost):
             n.append(len(u))
             fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
@@ -107,12 +121,14 @@ def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFram
             best = u[np.lexsort((u, w))[:take]].view(np.int64)
             prefix.append(best)
             gid.append(int.from_bytes(hashlib.blake2b(best.tobytes(), digest_size=8, salt=len(u).to_bytes(8, "big")).digest(), "big", signed=True))
+            bits.append(parity(u))
+        longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-            ["doc_id", "text_key", "n", "fp", "gid", "prefix"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs)],
+            [x.split()[0] for x in SKETCH.split(", ")],
         )
 
-    return arrow_map(docs, rows, "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>")
+    return arrow_map(docs, rows, SKETCH)
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -149,14 +165,39 @@ def connected_components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of set digests with similarity t at least, on whole sets."""
+def _may_link(pairs: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, na, ba, b, nb, bb) whose sizes and bitmaps do not rule out similarity t."""
+
+    def half(bits, size):
+        return F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+    least = F.least(F.size("ba"), F.size("bb"))
+    x = F.when(F.size("ba") > least, half(F.col("ba"), least)).otherwise(F.col("ba"))
+    y = F.when(F.size("bb") > least, half(F.col("bb"), least)).otherwise(F.col("bb"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    total = F.col("na") + F.col("nb")
+    sizes = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
+    near = (total - differ) * (t.numerator + t.denominator) >= total * 2 * t.numerator
+    return pairs.where(sizes).where(near)
+
+
+#: Documents to verify that may be broadcast as keys; more are joined by shuffle.
+SMALL = 200_000
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of set digests with similarity t at least, on whole sets made from the texts again."""
+    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = materialize(classes.join(fps, "fp").select(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_k")).distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["text_key"] == F.col("_k")), "left_semi")
+    sets = materialize(whole_sets(texts.select("text"), k), "sets")
     left = sets.select(F.col("fp").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("fp").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb").cast("long") - inter
-    return both.where(inter * t.denominator >= union * t.numerator).select("a", "b")
+    return materialize(both.where(inter * t.denominator >= union * t.numerator).select("a", "b"), "links")
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
@@ -175,10 +216,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | s
     cost = word_frequency(docs)
     found = materialize(sketches(docs, k, t, cost), "sketches")
     classes = materialize(
-        found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("head"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix")),
+        found.where("n > 0")
+        .groupBy("fp")
+        .agg(F.min("doc_id").alias("head"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits")),
         "classes",
     )
-    comps = _class_components(docs, classes, k, t)
+    comps = _class_components(docs, found, classes, k, t)
     named = classes.select("fp", "head").join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     heads = named.groupBy("comp").agg(F.min("head").alias("component_id"))
     final = named.select("fp", "comp").join(heads, "comp").select("fp", "component_id")
@@ -186,81 +229,58 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | s
     return out.join(final, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
 
 
-def _class_components(docs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
-    member = classes.select("gid", "fp")
-    groups = classes.groupBy("gid", "n", "prefix").agg(F.min("fp").alias("rep"))
-    tokens = groups.select("gid", "n", "rep", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("gid").alias("pivot")).where("c > 1").drop("c")
-    meet = materialize(tokens.join(shared, "token"), "shared")  # prefix shingles of two groups at least
+def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
     num, den = t.numerator, t.denominator
-
-    def pair_of(x: DataFrame, y: DataFrame, order) -> DataFrame:
-        """Groups of one shingle that pass the size filter and the filter on places in the prefixes."""
-        x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "rep", "pos")])
-        y = y.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "rep", "pos")])
-        # For a first common shingle at these places, the overlap is at most this.
-        most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-        size = (F.col("x_n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("x_n") * num)
-        return x.join(y, "token").where(order & size & (most * (den + num) >= (F.col("x_n") + F.col("y_n")) * num))
-
-    stars = pair_of(meet.where("gid = pivot"), meet, F.col("x_gid") < F.col("y_gid")).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
-    least = member.groupBy("gid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    inner = member.join(least, "gid").where("fp != a").select("a", F.col("fp").alias("b"))
-    first = materialize(stars.union(inner).distinct(), "pairs")
-
-    # Sets of all groups that meet another one of a fitting size, or that hold several members.
-    many = materialize(
-        pair_sides(meet, num, den).union(least.select("gid")).distinct().join(member, "gid").select("gid", "fp"), "meeting"
-    )
-    wanted = many.join(classes.select("fp", "at"), "fp").select(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_k")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["text_key"] == F.col("_k")), "left_semi")
-    sets = materialize(whole_sets(texts.select("text"), k), "sets")
-
-    links = materialize(_verified(first, sets, t), "links")
-    comps = connected_components(links)
+    tokens = found.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
+    shared = tokens.groupBy("token").agg(F.min("gid").alias("pivot"), F.max("gid").alias("top")).where("pivot != top").select("token", "pivot")
+    # Prefix shingles that two groups at least have.
+    meet = tokens.join(shared, "token").groupBy("token", "pivot", "gid").agg(F.min("at").alias("at"))
+    meet = materialize(meet.select("token", "pivot", "gid", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("pos")), "shared")
+    member = classes.select("gid", "fp", "n", "bits")
+    # One member of each group speaks for it in the first pass.
+    groups = materialize(member.groupBy("gid").agg(F.min(F.struct("fp", "n", "bits")).alias("rep"), F.count(F.lit(1)).alias("c")), "groups")
+
+    def fits(x_n, x_pos, y_n, y_pos):
+        """Sizes and places that allow similarity t, if the shingle at these places is the first common one."""
+        most = F.least(x_n - x_pos, y_n - y_pos)
+        return (x_n * den >= y_n * num) & (y_n * den >= x_n * num) & (most * (den + num) >= (x_n + y_n) * num)
+
+    def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        cols = ("gid", "n", "pos", *more)
+        return tuple(df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "xy")
+
+    def fields(side: str, of: DataFrame, *more: str) -> DataFrame:
+        return of.select(F.col("gid").alias(f"{side}_gid"), F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more])
+
+    close = fits(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
+    pivots, others = sides(meet.where("gid = pivot"))[0], sides(meet.where("gid != pivot"))[1]
+    stars = pivots.join(others, "token").where(close).select("x_gid", "y_gid").distinct()
+    reps = groups.select("gid", "rep.fp", "rep.n", "rep.bits")
+    stars = stars.join(fields("a", reps).withColumnRenamed("a_gid", "x_gid"), "x_gid").join(fields("b", reps).withColumnRenamed("b_gid", "y_gid"), "y_gid")
+    several = groups.where("c > 1").select("gid", F.col("rep.fp").alias("a"), F.col("rep.n").alias("na"), F.col("rep.bits").alias("ba"))
+    inner = member.join(several, "gid").where("fp != a").select("a", "na", "ba", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    cols = ["a", "na", "ba", "b", "nb", "bb"]
+    first = _may_link(stars.select(cols).union(inner.select(cols)), t)
+    first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    comps = connected_components(_verified(docs, classes, first, k, t))
 
     # The second pass: every pair of groups of one shingle, and of members of one group, across components.
-    label = many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    label = materialize(label, "labelled")
+    label = materialize(member.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "labelled")
     span = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_tokens = meet.join(span, "gid").groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
-    left_over = materialize(meet.join(open_tokens, "token", "left_semi").join(span, "gid").select("token", "gid", "n", "rep", "pos", "lo", "hi"), "open")
-    x = left_over.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "lo", "hi")])
-    y = left_over.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "lo", "hi")])
-    most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    across = ~((F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo")))
-    crossing = (
-        x.join(y, "token")
-        .where(
-            (F.col("x_gid") < F.col("y_gid")) & across
-            & (F.col("x_n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("x_n") * num)
-            & (most * (den + num) >= (F.col("x_n") + F.col("y_n")) * num)
-        )
-        .select("x_gid", "y_gid")
-        .distinct()
-    )
-    ours = label.select(F.col("gid").alias("x_gid"), F.col("fp").alias("p"), F.col("comp").alias("cp"))
-    theirs = label.select(F.col("gid").alias("y_gid"), F.col("fp").alias("q"), F.col("comp").alias("cq"))
-    outer = crossing.join(ours, "x_gid").join(theirs, "y_gid").where("cp != cq")
-    split = span.where("lo != hi").select("gid")
-    within = label.join(split, "gid", "left_semi")
-    within = within.select("gid", F.col("fp").alias("p"), F.col("comp").alias("cp")).join(within.select("gid", F.col("fp").alias("q"), F.col("comp").alias("cq")), "gid").where("p < q and cp != cq")
-    second = outer.select("p", "q").union(within.select("p", "q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    spread = meet.join(span, "gid")
+    crossed = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
+    left_over = materialize(spread.join(crossed, "token", "left_semi").select("token", "gid", "n", "pos", "lo", "hi"), "open")
+    x, y = sides(left_over, "lo", "hi")
+    one = (F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo"))
+    crossing = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & ~one & close).select("x_gid", "y_gid").distinct()
+    ours, theirs = fields("a", label, "comp").withColumnRenamed("a_gid", "x_gid"), fields("b", label, "comp").withColumnRenamed("b_gid", "y_gid")
+    outer = crossing.join(ours, "x_gid").join(theirs, "y_gid").where("comp_a != comp_b")
+    within = label.join(span.where("lo != hi").select("gid"), "gid", "left_semi")
+    within = fields("a", within, "comp").join(fields("b", within, "comp"), F.col("a_gid") == F.col("b_gid")).where("a < b and comp_a != comp_b")
+    second = _may_link(outer.select(cols).union(within.select(cols)), t)
+    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return comps
-    more = _verified(second, sets, t)
-    stars = comps.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    return connected_components(stars.union(more))
-
-
-def pair_sides(meet: DataFrame, num: int, den: int) -> DataFrame:
-    """The groups with a partner of fitting size on some shingle: by neighbours in the order of sizes."""
-    from pyspark.sql import Window
-
-    # Sizes, not groups, are what a shingle's rows collapse to, so a hot shingle stays small.
-    sizes = meet.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("token").orderBy("n")
-    near = sizes.select("token", "n", "c", F.lag("n").over(w).alias("below"), F.lead("n").over(w).alias("above"))
-    fits = near.where((F.col("c") > 1) | (F.col("below") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("above") * num))
-    return meet.join(fits.select("token", "n"), ["token", "n"], "left_semi").select("gid")
+    known = comps.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return connected_components(known.union(_verified(docs, classes, second, k, t)))
