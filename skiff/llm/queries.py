@@ -19,12 +19,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skiff.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op4_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.quality_rules import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op5_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.rule_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skiff.llm.best_fit_packing import pack
 
