@@ -28,7 +28,7 @@ from skiff.llm.common import arrow_map, materialize
 from skiff.llm.textkit import Words, shingles, slices, utf8
 
 #: Counters of the word frequency sketch, and the parts in which tasks hand it on.
-BUCKETS, PARTS = 1 << 17, 32
+BUCKETS, PARTS = 1 << 18, 32
 
 
 def word_frequency(docs: DataFrame) -> np.ndarray:
@@ -47,15 +47,14 @@ def word_frequency(docs: DataFrame) -> np.ndarray:
                 at = offsets[i : j + 1]
                 h = Words(data[at[0] : at[-1]], at - at[0]).hashes(lower=True)
                 total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        blobs = [total[p * size : (p + 1) * size].tobytes() for p in range(PARTS)]
+        blobs = [total[p * size : (p + 1) * size].astype(np.int32).tobytes() for p in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.frombuffer(blob, np.int64)
-                total[p] = total[p] + c if p in total else c
+                total[p] = total.get(p, 0) + np.frombuffer(blob, np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
@@ -85,7 +84,10 @@ def doc_sets(batch: pa.RecordBatch, k: int, cost: np.ndarray | None) -> Iterator
             n = len(c)
             weight = np.zeros(len(value), np.int32)
             if n >= k:
-                full = sum(c[x : n - k + 1 + x] for x in range(k))[words.doc[: n - k + 1] == words.doc[k - 1 :]]
+                # No shingle is more frequent than its rarest word; sums order those alike.
+                each = [c[x : n - k + 1 + x] for x in range(k)]
+                full = np.minimum.reduce(each) * 4096 + sum(each)
+                full = full[words.doc[: n - k + 1] == words.doc[k - 1 :]]
                 weight[: len(full)] = full
         order = np.argsort(doc, kind="stable")
         edges = np.searchsorted(doc[order], np.arange(j - i + 1))
@@ -181,6 +183,8 @@ def _may_link(pairs: DataFrame, t: Fraction) -> DataFrame:
     return pairs.where(sizes).where(near)
 
 
+#: Further passes from other pivots before all pairs that are left.
+TURNS = 6
 #: Documents to verify that may be broadcast as keys; more are joined by shuffle.
 SMALL = 200_000
 
@@ -264,12 +268,40 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
     first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     comps = connected_components(_verified(docs, classes, first, k, t))
 
-    # The second pass: every pair of groups of one shingle, and of members of one group, across components.
-    label = materialize(member.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "labelled")
-    span = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spread = meet.join(span, "gid")
-    crossed = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
-    left_over = materialize(spread.join(crossed, "token", "left_semi").select("token", "gid", "n", "pos", "lo", "hi"), "open")
+    def across(comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Components of members, their range in each group, and the prefix shingles that meet several."""
+        label = materialize(member.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "labelled")
+        span = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        spread = meet.join(span, "gid")
+        crossed = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
+        left_over = materialize(spread.join(crossed, "token", "left_semi").select("token", "gid", "n", "pos", "lo", "hi"), "open")
+        return label, span, left_over
+
+    # Then across components only. Stars from other pivots come first, as long as they join much: a
+    # cluster of near copies that its first pivot links in part would give most of its pairs.
+    tried = first
+    for turn in range(TURNS + 1):
+        label, span, left_over = across(comps)
+        by_comp = left_over.groupBy("token", "lo").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid")).alias("gid"))
+        tops = by_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "lo", "gid")).alias("top"))
+        rows, pairs = tops.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.lit(0.0))).first()
+        if turn == TURNS or pairs <= 8 * rows:
+            break
+        lead = tops.select("token", F.col("top.lo").alias("lead"), F.col("top.gid.gid").alias("pivot"))
+        led = left_over.join(lead, "token")
+        pivots, others = sides(led.where("gid = pivot"))[0], sides(led.where("lo != lead or hi != lead"))[1]
+        stars = pivots.join(others, "token").where(close & (F.col("x_gid") != F.col("y_gid"))).select("x_gid", "y_gid").distinct()
+        stars = stars.join(fields("a", reps).withColumnRenamed("a_gid", "x_gid"), "x_gid").join(fields("b", reps).withColumnRenamed("b_gid", "y_gid"), "y_gid")
+        fresh = _may_link(stars.select(cols), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(docs, classes, fresh, k, t)
+        tried = tried.union(fresh)
+        if more.isEmpty():
+            break
+        known = comps.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        comps = connected_components(known.union(more))
+
+    # Last, every pair of groups of one shingle, and of members of one group, that is still across.
     x, y = sides(left_over, "lo", "hi")
     one = (F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo"))
     crossing = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & ~one & close).select("x_gid", "y_gid").distinct()
@@ -279,7 +311,7 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
     within = fields("a", within, "comp").join(fields("b", within, "comp"), F.col("a_gid") == F.col("b_gid")).where("a < b and comp_a != comp_b")
     second = _may_link(outer.select(cols).union(within.select(cols)), t)
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = materialize(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return comps
     known = comps.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
