@@ -1,8 +1,66 @@
-"""A corpus pipeline: five stages over ``documents``, each written and read again for the next."""
+"""A corpus pipeline: five stages over ``documents``, each written and read again for the next one."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skiff.llm import best_fit_packing, jaccard_join, rule_classifier, suffix_dedup, toxicity
+from skiff.llm.common import materialize
+from skiff.llm.queries import table, tokenizer
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column beside its id and text, so that no name of it can clash."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality classifier does not reject; a null or empty text is scored as one without words."""
+    model = rule_classifier.learn(docs, table(spark, sf_dir, "labels"))
+    return rule_classifier.with_quality(_rows(docs), model, "_row").where("score >= 0.3").select("_row.*")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the toxicity model does not reject."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(_rows(docs), model, "_row").where("score < 0.5").select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: five-word shingles, similarity 0.8 at least."""
+    return jaccard_join.drop_near_copies(docs, k=5, threshold="0.8")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut what is covered by repeated strings of 400 bytes; bytes of letters that a cut splits go too."""
+    cut = suffix_dedup.with_cut(_rows(docs), 400, suffix_dedup.BLOCK, "_row")
+    # make_valid_utf8 marks what is not whole; the text itself may hold that mark only if it had it.
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    text = F.when(F.col("n_removed") == 0, F.col("_row.text")).otherwise(whole)
+    return cut.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 1024 tokens."""
+    return best_fit_packing.pack(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", packing),
+]
+
+#: SQL expresses neither the models nor the merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _OWN_DIR: list[str] = []
 
@@ -39,7 +40,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def rank_in_class(df: DataFrame, classes: list[str], order: list[str], rank: str
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*classes, *order]
     dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    schema = dealt.schema
+    schema = StructType([*dealt.schema.fields, StructField("_local", LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, n = None, 0
@@ -98,7 +99,7 @@ def rank_in_class(df: DataFrame, classes: list[str], order: list[str], rank: str
                 out.append(n)
             yield batch.append_column("_local", pa.array(out, pa.int64()))
 
-    local = dealt.mapInArrow(number, schema.add("_local", "long"))
+    local = dealt.mapInArrow(number, schema)
     local = materialize(local, "ranked")
     counts = local.groupBy("_part", *classes).agg(F.count(F.lit(1)).alias("_n"))
     # One row for each pair of a task and a class that meets it: at most tasks + classes rows,

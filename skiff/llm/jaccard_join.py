@@ -204,6 +204,21 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t:
     return materialize(both.where(inter * t.denominator >= union * t.numerator).select("a", "b"), "links")
 
 
+def _components(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """doc_id, text_key, n and comp (a digest; null for empty sets) of each row of docs (doc_id, text, text_key)."""
+    cost = word_frequency(docs)
+    found = materialize(sketches(docs, k, t, cost), "sketches")
+    classes = materialize(
+        found.where("n > 0")
+        .groupBy("fp")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits")),
+        "classes",
+    )
+    comps = _class_components(docs, found, classes, k, t)
+    out = found.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
+    return out.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").select("doc_id", "text_key", "n", F.coalesce("comp", "fp").alias("comp"))
+
+
 def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
     """Components of documents whose sets of k-word shingles have at least the threshold's similarity.
 
@@ -215,22 +230,26 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | s
     component unless all ids of it are null. Equal sets are one class, so their copies meet at
     no cost. An empty table gives an empty table.
     """
-    t = Fraction(threshold)
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    cost = word_frequency(docs)
-    found = materialize(sketches(docs, k, t, cost), "sketches")
-    classes = materialize(
-        found.where("n > 0")
-        .groupBy("fp")
-        .agg(F.min("doc_id").alias("head"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits")),
-        "classes",
+    found = materialize(_components(docs, k, Fraction(threshold)), "components")
+    heads = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return found.join(heads, "comp", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    comps = _class_components(docs, found, classes, k, t)
-    named = classes.select("fp", "head").join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    heads = named.groupBy("comp").agg(F.min("head").alias("component_id"))
-    final = named.select("fp", "comp").join(heads, "comp").select("fp", "component_id")
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
-    return out.join(final, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+
+
+def drop_near_copies(documents: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
+    """The rows of ``documents`` without near copies: of each component the row with the smallest doc_id.
+
+    A null id comes last; rows with equal id and text are one. Rows with empty sets all stay but for
+    those. All columns are kept.
+    """
+    names = documents.columns
+    docs = documents.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64("text"))
+    found = materialize(_components(documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")), k, Fraction(threshold)), "components")
+    best = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at")).select("at.doc_id", "at.text_key")
+    stay = best.union(found.where("comp is null").select("doc_id", "text_key")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*names)
 
 
 def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:

@@ -31,6 +31,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.warc_bundles import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skiff.llm.quality_rules import judge_quality
 
@@ -62,9 +68,38 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_projection_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.projection_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op10_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skiff.llm.label_sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where it can express the result over whole tables."""
+    return {
+        "op3_warc_bundles": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+                 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+                 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+            FROM f""",
+        "op9_projection_index": """
+            WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+                 d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+                       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    }

@@ -126,19 +126,28 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]], stat: list[Colum
     return 1 / (1 + F.exp(-total))
 
 
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[float, list[tuple[Rule, float]]]:
+    """The ensemble for ``labels.quality``, from at most ``max_rows`` labelled texts outside the held-out fold."""
+    stat = features()
+    train = with_stats(training_rows(documents, labels, "quality", max_rows), "_id", "y")
+    rows = train.select("_id", "y", *[c.alias(n) for n, c in stat.items()]).orderBy("_id").toPandas()
+    return fit(rows[list(stat)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
+
+
+def with_quality(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score of ``text``."""
+    stat = features()
+    stats = with_stats(docs, *keep).select(*keep, *[c.alias(n) for n, c in stat.items()])
+    return stats.select(*keep, compiled(*model, [F.col(n) for n in stat]).alias("score"))
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
-    The rules are learned from at most ``max_rows`` labelled texts outside the held-out fold. Each
-    row gives a row: null and empty texts have all counts 0; a null id counts as held out;
+    Each row gives a row: null and empty texts have all counts 0; a null id counts as held out;
     repeated rows score alike. Without usable labels every score is the share of label 1, or 0.5.
     Columns besides doc_id and text are ignored.
     """
-    stat = features()
-    train = with_stats(training_rows(documents, labels, "quality", max_rows), "_id", "y")
-    rows = train.select("_id", "y", *[c.alias(n) for n, c in stat.items()]).orderBy("_id").toPandas()
-    intercept, rules = fit(rows[list(stat)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
-    counted = with_stats(documents.select("doc_id", "text"), "doc_id")
-    stats = counted.select("doc_id", *[c.alias(n) for n, c in stat.items()])
-    scored = stats.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), compiled(intercept, rules, [F.col(n) for n in stat]).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = learn(documents, labels, max_rows)
+    scored = with_quality(documents.select("doc_id", "text"), model, "doc_id")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from skiff.llm.common import arrow_map, materialize
 from skiff.llm.suffix_sort import repeats
@@ -274,23 +275,20 @@ def repeated_spans(docs: DataFrame, length: int, block: int = BLOCK) -> DataFram
     return local.union(spans).union(mark).union(across)
 
 
-def suffix_dedup(documents: DataFrame, length: int = 400, block: int = BLOCK) -> DataFrame:
-    """Cut from every text the bytes covered by a string of ``length`` bytes that also starts elsewhere.
+CUT = StructType([StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes
-    in order, binary), one row for each row of ``documents``; other columns are ignored. All
-    copies of a repeat go, also overlapping ones and those inside one document; matches do not
-    cross documents. Null texts count as empty. Repeated rows are separate documents, so theirs are
-    removed. Null ids are allowed. Texts shorter than ``length`` stay whole.
-    """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(docs, length, block)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["text_key"] == F.col("_k")), "left")
+
+def with_cut(docs: DataFrame, length: int, block: int, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (doc_id, text) and n_bytes, n_removed, n_spans and kept."""
+    docs = docs.select(*keep, F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    docs = docs.withColumn("_key", F.xxhash64("_text"))
+    spans = repeated_spans(docs.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.col("_key").alias("text_key")), length, block)
+    per_doc = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set(F.struct("begin", "until")).alias("_spans"))
+    joined = docs.join(per_doc, docs["_id"].eqNullSafe(F.col("_d")) & (docs["_key"] == F.col("_k")), "left").select(*keep, "_text", "_spans")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n_bytes, removed, runs, kept = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, spans in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
             raw = text.encode()
             at, n, gone, left = 0, 0, 0, []
             end = -1
@@ -308,8 +306,20 @@ def suffix_dedup(documents: DataFrame, length: int = 400, block: int = BLOCK) ->
             runs.append(n)
             kept.append(b"".join(left))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [*batch.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+            [*keep, *CUT.names],
         )
 
-    return arrow_map(joined.select("doc_id", "text", "spans"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return arrow_map(joined, cut, StructType([*joined.schema.fields[:-2], *CUT.fields]))
+
+
+def suffix_dedup(documents: DataFrame, length: int = 400, block: int = BLOCK) -> DataFrame:
+    """Cut from every text the bytes covered by a string of ``length`` bytes that also starts elsewhere.
+
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes
+    in order, binary), one row for each row of ``documents``; other columns are ignored. All
+    copies of a repeat go, also overlapping ones and those inside one document; matches do not
+    cross documents. Null texts count as empty. Repeated rows are separate documents, so theirs are
+    removed. Null ids are allowed. Texts shorter than ``length`` stay whole.
+    """
+    return with_cut(documents, length, block, "doc_id")

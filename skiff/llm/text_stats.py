@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skiff.llm.common import arrow_map
 from skiff.llm.textkit import _SPACE, Words, mix, powers, slices, utf8
@@ -106,8 +108,7 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` (long or int) of ``docs`` and the counts of ``text``; a null text counts as empty."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    """The columns ``keep`` of ``docs`` and the counts of ``text``; a null text counts as empty."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(len(keep)))
@@ -118,5 +119,5 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
         cols = [pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in COUNTS]
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, *COUNTS])
 
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"{c} long" for c in COUNTS])
-    return arrow_map(docs.select(*keep, "text"), rows, schema)
+    some = docs.select(*keep, F.col("text").alias("_text"))
+    return arrow_map(some, rows, StructType([*some.schema.fields[:-1], *(StructField(c, LongType()) for c in COUNTS)]))

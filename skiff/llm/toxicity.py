@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skiff.llm.common import arrow_map, fold, training_rows
 from skiff.llm.textkit import _BYTE, _LOWER, _PLACE, Words, mix, slices, utf8
@@ -127,24 +128,34 @@ def predict(data: np.ndarray, offsets: np.ndarray, scores: np.ndarray, bias: flo
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.5).
-
-    The model learns from at most ``max_rows`` labelled texts outside the held-out fold. Each row
-    gives a row: null and empty texts get the score of a text without words; a null id counts as
-    held out; repeated rows score alike. Without usable labels all scores are near 0. Columns
-    besides doc_id and text are ignored.
-    """
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, float]:
+    """The model for ``labels.toxic``, from at most ``max_rows`` labelled texts outside the held-out fold."""
     rows = training_rows(documents, labels, "toxic", max_rows).orderBy("_id").toPandas()
-    scores, bias = fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
+    return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
+
+
+def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score of ``text``."""
+    scores, bias = model
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(len(keep)))
         out = []
         for i, j in slices(offsets):
             at = offsets[i : j + 1]
             out.append(predict(data[at[0] : at[-1]], at - at[0], scores, bias))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out), pa.float64())], [*keep, "score"])
 
-    scored = arrow_map(documents.select("doc_id", "text"), run, "doc_id long, score double")
+    some = docs.select(*keep, F.col("text").alias("_text"))
+    return arrow_map(some, run, StructType([*some.schema.fields[:-1], StructField("score", DoubleType())]))
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+    """Score every whole text: doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.5).
+
+    Each row gives a row: null and empty texts get the score of a text without words; a null id counts as
+    held out; repeated rows score alike. Without usable labels all scores are near 0. Columns
+    besides doc_id and text are ignored.
+    """
+    scored = with_toxicity(documents.select("doc_id", "text"), learn(documents, labels, max_rows), "doc_id")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
