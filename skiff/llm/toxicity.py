@@ -10,6 +10,7 @@ number for each bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,46 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return np.concatenate(words), np.concatenate(buckets)
 
 
+@dataclass
+class Bags:
+    """Texts as bags of distinct words, and words as bags of buckets, both as pairs sorted by the first."""
+
+    w_of: np.ndarray
+    bucket: np.ndarray
+    size: np.ndarray  # n-grams of each word
+    doc: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+
+def _bags(texts: list[str]) -> Bags:
+    """Read the texts slice by slice, so that memory holds distinct words only."""
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    known: dict[int, int] = {}
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(5)]
+    for i, j in slices(offsets, 1 << 20):
+        at = offsets[i : j + 1]
+        words = Words(data[at[0] : at[-1]], at - at[0])
+        if not len(words.start):
+            continue
+        keys, one, inverse = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
+        fresh = np.array([k not in known for k in keys.tolist()])
+        if fresh.any():
+            w_of, bucket = grams(words.data, words.start[one[fresh]], words.end[one[fresh]])
+            order = np.argsort(w_of, kind="stable")
+            parts[0].append((w_of[order] + len(known)).astype(np.int32))
+            parts[1].append(bucket[order].astype(np.int32))
+            for k in keys[fresh].tolist():
+                known[k] = len(known)
+        index = np.array([known[k] for k in keys.tolist()])
+        pair, count = np.unique(words.doc * len(keys) + inverse, return_counts=True)
+        parts[2].append((pair // len(keys) + i).astype(np.int32))
+        parts[3].append(index[pair % len(keys)].astype(np.int32))
+        parts[4].append(count.astype(np.int32))
+    w_of, bucket, doc, word, count = (np.concatenate(p) for p in parts)
+    return Bags(w_of, bucket, np.bincount(w_of, minlength=len(known)), doc, word, count)
+
+
 def fit(texts: list[str], y: np.ndarray, dims: int = 4, steps: int = 200, rate: float = 0.05, level: float = 2.6, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, float]:
     """Train the embeddings and the softmax; returns (score of each bucket, bias).
 
@@ -60,26 +101,18 @@ def fit(texts: list[str], y: np.ndarray, dims: int = 4, steps: int = 200, rate:
     """
     share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
     base = np.log(share / (1 - share))
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    words = Words(data, offsets)
-    if not len(words.start) or len(set(y.tolist())) < 2:
+    bag = _bags(texts)
+    if not len(bag.word) or len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), float(base)
-    _, one, word = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
-    w_of, bucket = grams(data, words.start[one], words.end[one])
-    size = np.bincount(w_of, minlength=len(one))
-    pair, count = np.unique(words.doc * len(one) + word, return_counts=True)
-    doc, word = pair // len(one), pair % len(one)
-    # In how many texts of either class a bucket is: marks of (bucket, text), word by word.
-    order = np.argsort(w_of, kind="stable")
-    w_sorted, b_sorted = w_of[order], bucket[order]
-    at = np.searchsorted(w_sorted, np.arange(len(one) + 1))
+    w_of, bucket, size, doc, word, count = bag.w_of, bag.bucket, bag.size, bag.doc, bag.word, bag.count
+    words_of = np.bincount(doc, count, len(y))
+    # In how many texts of either class a bucket is.
     seen = np.zeros((2, BUCKETS))
-    edge = np.searchsorted(doc, np.arange(len(y) + 1))
+    at, edge = np.searchsorted(w_of, np.arange(len(size) + 1)), np.searchsorted(doc, np.arange(len(y) + 1))
     for d in range(len(y)):
         mine = word[edge[d] : edge[d + 1]]
         if len(mine):
-            spans = [b_sorted[at[w] : at[w + 1]] for w in mine.tolist()]
-            seen[int(y[d]), np.unique(np.concatenate(spans))] += 1
+            seen[int(y[d]), np.unique(np.concatenate([bucket[at[w] : at[w + 1]] for w in mine.tolist()]))] += 1
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     odds = np.log((seen[1] + 0.5) / (n1 - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n0 - seen[0] + 0.5))
     error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (n1 - seen[1] + 0.5) + 1 / (seen[0] + 0.5) + 1 / (n0 - seen[0] + 0.5))
@@ -87,9 +120,9 @@ def fit(texts: list[str], y: np.ndarray, dims: int = 4, steps: int = 200, rate:
     some = beyond[bucket] != 0
     w_of, bucket = w_of[some], bucket[some]
     used, gram = np.unique(bucket, return_inverse=True)
-    hold = np.bincount(w_of, minlength=len(one))[word] > 0
+    hold = np.bincount(w_of, minlength=len(size))[word] > 0
     doc, word, count = doc[hold], word[hold], count[hold]
-    share = count / np.maximum(words.count[doc], 1)
+    share = count / words_of[doc]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (len(used), dims))
     emb[:, 0] = beyond[used]
@@ -100,10 +133,10 @@ def fit(texts: list[str], y: np.ndarray, dims: int = 4, steps: int = 200, rate:
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in layers]
     for step in range(1, steps + 1):
         line = top[:, 1] - top[:, 0]
-        word_score = np.bincount(w_of, (emb @ line)[gram], len(one)) / size
+        word_score = np.bincount(w_of, (emb @ line)[gram], len(size)) / size
         logit = SHARP * np.bincount(doc, share * word_score[word], len(y)) + bias[1] - bias[0]
         miss = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(y)
-        by_word = np.bincount(word, SHARP * share * miss[doc], len(one)) / size
+        by_word = np.bincount(word, SHARP * share * miss[doc], len(size)) / size
         by_gram = np.bincount(gram, by_word[w_of], len(used))
         g_line = by_gram @ emb
         grads = [np.outer(by_gram, line) + decay / max(1, len(used)) * emb, np.stack([-g_line, g_line], 1), np.array([-miss.sum(), miss.sum()])]
@@ -128,7 +161,7 @@ def predict(data: np.ndarray, offsets: np.ndarray, scores: np.ndarray, bias: flo
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, float]:
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> tuple[np.ndarray, float]:
     """The model for ``labels.toxic``, from at most ``max_rows`` labelled texts outside the held-out fold."""
     rows = training_rows(documents, labels, "toxic", max_rows).orderBy("_id").toPandas()
     return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
@@ -150,7 +183,7 @@ def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str)
     return arrow_map(some, run, StructType([*some.schema.fields[:-1], StructField("score", DoubleType())]))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     Each row gives a row: null and empty texts get the score of a text without words; a null id counts as
