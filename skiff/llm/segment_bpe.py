@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from skiff.llm.common import arrow_map
 
 NONE = np.iinfo(np.int64).max
-#: Words that a worker remembers.
-REMEMBER = 400_000
+#: Chunks of text that a worker remembers.
+REMEMBER = 700_000
 #: White space of the tokenizer's patterns.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CODECS: dict[str, "Codec"] = {}
@@ -72,9 +72,7 @@ class Codec:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace("\\s", WHITE))
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.shown: dict[str, str] = {"": ""}
+        self.chunks: dict[str, tuple[bytes, str]] = {"": (b"", "")}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs, NONE where there is none."""
@@ -194,69 +192,74 @@ class Codec:
                     out[i] = ids
         return out
 
-    def parts(self, text: str) -> list[str]:
-        """Normalise (NFC, lower case letter by letter) and split by the tokenizer's pattern."""
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return self.split.findall(text)
-
-    def learn(self, chunks: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Ids and decoded text of chunks without plain spaces or special tokens: those not remembered.
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids, decoded text) of the chunks that are not remembered; a chunk has no plain space or special token.
 
-        Memory holds the first REMEMBER chunks and words that a worker meets, mostly frequent ones.
+        Memory holds the first REMEMBER chunks that a worker meets, mostly frequent ones.
         """
         chunks.difference_update(self.chunks)
-        split = {c: self.parts(c) for c in chunks}
-        words = self.words
-        new = list({p for ps in split.values() for p in ps}.difference(words))
+        find, known = self.split.findall, self.chunks
+        out, split = {}, {}
+        for c in chunks:
+            # After a letter a single mark is a word of its own, so the rest may be known.
+            rest = known.get(c[:-1]) if c[-1] in ",.!?;:" and c[-2:-1].isalpha() else None
+            if rest is None:
+                split[c] = find(c)
+            else:
+                mark = known.get(c[-1])
+                if mark is None:
+                    split[c] = find(c)
+                else:
+                    out[c] = rest[0] + mark[0], f"{rest[1]} {mark[1]}"
+        new = list(set().union(*split.values()))
         fresh = dict(zip(new, self.merge([w.encode() for w in new])))
         show = self.text_of.__getitem__
-        ids_of, shown = {}, {}
         for c, ps in split.items():
-            ids: list[int] = []
-            for p in ps:
-                ids += fresh[p] if p in fresh else words[p]
-            ids_of[c] = array("I", ids).tobytes()
-            shown[c] = " ".join(map(show, ids))
-        if len(self.words) < REMEMBER:
-            self.words.update(fresh)
-        if len(self.chunks) < REMEMBER:
-            self.chunks.update(ids_of)
-            self.shown.update(shown)
-            return {}, {}
-        return ids_of, shown
+            ids = fresh[ps[0]] if len(ps) == 1 else [i for p in ps for i in fresh[p]]
+            out[c] = array("I", ids).tobytes(), " ".join(map(show, ids))
+        if len(known) < REMEMBER:
+            known.update(out)
+            return {}
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text_of[i] for i in ids if i in self.text_of)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids, decoded text) of each text; ids as little-endian 32-bit integers."""
-        for k in range(0, len(texts), 1000):
-            rows = [self._chunks(t or "") for t in texts[k : k + 1000]]
-            for lo in range(0, len(rows), 100):
-                part = rows[lo : lo + 100]
-                extra, extra_shown = self.learn({c for row in part for run in row if isinstance(run, list) for c in run})
-                of, show = (_Behind(extra, self.chunks), _Behind(extra_shown, self.shown)) if extra else (self.chunks, self.shown)
-                for row in part:
-                    ids, shown = [], []
-                    for run in row:
-                        if isinstance(run, list):
-                            ids += map(of.__getitem__, run)
-                            shown += map(show.__getitem__, run)
-                        else:
-                            ids.append(np.array([run], "<u4").tobytes())
-                            shown.append(self.text_of[run])
-                    yield b"".join(ids), " ".join(filter(None, shown))
+        for k in range(0, len(texts), 200):
+            rows = [self._chunks(t or "") for t in texts[k : k + 200]]
+            extra = self.learn(set().union(*(run for row in rows for run in row if isinstance(run, list))))
+            look = (_Behind(extra, self.chunks) if extra else self.chunks).__getitem__
+            for row in rows:
+                ids, shown = [], []
+                for run in row:
+                    if isinstance(run, list):
+                        x, y = zip(*map(look, run))
+                        ids += x
+                        shown += y
+                    else:
+                        ids.append(array("I", [run]).tobytes())
+                        shown.append(self.text_of[run])
+                yield b"".join(ids), " ".join(filter(None, shown))
 
     def _chunks(self, text: str) -> list:
         """Runs of chunks, with the ids of special tokens between them."""
         if "<|" not in text:
-            return [text.replace("\n", " ").split(" ")]
+            return [self._cut(text)]
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [text[at : m.start()].replace("\n", " ").split(" "), self.special[m[0]]]
+            out += [self._cut(text[at : m.start()]), self.special[m[0]]]
             at = m.end()
-        return [*out, text[at:].replace("\n", " ").split(" ")]
+        return [*out, self._cut(text[at:])]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Normalise (NFC, lower case letter by letter) and cut at spaces, which no word holds."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return text.replace("\n", " ").split(" ")
 
 
 def codec(path: str) -> Codec:
