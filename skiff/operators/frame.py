@@ -109,8 +109,8 @@ class Frame:
             return self._like(self.df.orderBy(*self._sorts(reverse=True)).limit(-a))
         n = self.df.count()
         lo, hi = (max(0, n + x) if x < 0 else x for x in (a, n if b is None else b))
-        placed = with_position(self.df, self._sorts())
-        return self._like(placed.where((F.col("_pos") >= lo) & (F.col("_pos") < hi)).drop("_pos"))
+        placed = with_position(self.df, self._sorts(), "_at")
+        return self._like(placed.where((F.col("_at") >= lo) & (F.col("_at") < hi)).drop("_at"))
 
     @property
     def iloc(self) -> _Places:
@@ -223,9 +223,9 @@ class Series:
 
     def _aligned(self, other: Series, op: Callable, kind: str | None) -> Series:
         """Series of different frames meet by place."""
-        a = with_position(self.frame.df.withColumn("_a", self.col), self.frame._sorts())
-        b = with_position(other.frame.df.withColumn("_b", other.col), other.frame._sorts()).select("_pos", "_b")
-        joined = a.join(b, "_pos").select(*self.frame.df.columns, op(F.col("_a"), F.col("_b")).alias("_value"))
+        a = with_position(self.frame.df.withColumn("_a", self.col), self.frame._sorts(), "_at")
+        b = with_position(other.frame.df.withColumn("_b", other.col), other.frame._sorts(), "_at").select("_at", "_b")
+        joined = a.join(b, "_at").select(*self.frame.df.columns, op(F.col("_a"), F.col("_b")).alias("_value"))
         return Series(Frame(joined, self.frame.index, self.frame.order), F.col("_value"), self.name, kind or self.kind)
 
     def __add__(self, o):

@@ -512,7 +512,7 @@ def wl_laplace(spark, d):
     return workloads.laplace(Grid(long, (n or 0) + 1, 64), 3).df.select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("SELECT c_custkey, (CAST(1111 * 1000000000 + c_custkey AS HUGEINT) * 1000000 + 131400) % 97 = 1 AS ok FROM customer")
+@query("SELECT c_custkey, ((CAST(1111000000000 AS HUGEINT) + c_custkey) * 1000000 + 131400) % 97 = 1 AS ok FROM customer")
 def wl_iban(spark, d):
     # DE00 and an account number: the check digits fit about one customer in 97.
     account = F.concat(F.lit("DE00"), F.lpad((F.lit(1_111_000_000_000).cast("bigint") + F.col("c_custkey")).cast("string"), 13, "0"))
