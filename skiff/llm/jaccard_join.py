@@ -97,25 +97,25 @@ def doc_sets(batch: pa.RecordBatch, k: int, cost: np.ndarray | None) -> Iterator
             yield i + d, u, weight[mine[first]] if weight is not None else None
 
 
-def parity(u: np.ndarray) -> np.ndarray:
-    """A bitmap of at least two bits for each hash: bit i is the parity of the hashes that fall on i.
+def parity(u: np.ndarray, words: int = 0) -> np.ndarray:
+    """A bitmap of at least two bits for each hash, or of fixed size: bit i is the parity of the hashes that fall on i.
 
     Two bitmaps differ in no more bits than their sets differ in members. Its length is a power of two,
     and its halves xored are the bitmap of half the length.
     """
-    words = 1 << max(0, (len(u) - 1) // 32).bit_length()
+    words = words or 1 << max(0, (len(u) - 1) // 32).bit_length()
     bits = np.bincount((u >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-SKETCH = "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>, bits array<long>"
+SKETCH = "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>, bits array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFrame:
     """n (set size), fp (digest of the set), gid (of size and prefix), the prefix in order, and the bitmap."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, fp, gid, prefix, bits = [], [], [], [], []
+        n, fp, gid, prefix, bits, short = [], [], [], [], [], []
         for _, u, w in doc_sets(batch, k, cost):
             n.append(len(u))
             fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
@@ -124,9 +124,11 @@ def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFram
             prefix.append(best)
             gid.append(int.from_bytes(hashlib.blake2b(best.tobytes(), digest_size=8, salt=len(u).to_bytes(8, "big")).digest(), "big", signed=True))
             bits.append(parity(u))
+            short.append(parity(u, 4))
+        four = np.array(short, np.int64).reshape(-1, 4)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs)],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs), *(pa.array(four[:, i]) for i in range(4))],
             [x.split()[0] for x in SKETCH.split(", ")],
         )
 
@@ -184,7 +186,7 @@ def _may_link(pairs: DataFrame, t: Fraction) -> DataFrame:
 
 
 #: Further passes from other pivots before all pairs that are left.
-TURNS = 6
+TURNS = 2
 #: Documents to verify that may be broadcast as keys; more are joined by shuffle.
 SMALL = 200_000
 
@@ -211,7 +213,7 @@ def _components(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     classes = materialize(
         found.where("n > 0")
         .groupBy("fp")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits")),
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]),
         "classes",
     )
     comps = _class_components(docs, found, classes, k, t)
@@ -255,66 +257,80 @@ def drop_near_copies(documents: DataFrame, k: int = 5, threshold: Fraction | str
 def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
     num, den = t.numerator, t.denominator
     tokens = found.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
-    shared = tokens.groupBy("token").agg(F.min("gid").alias("pivot"), F.max("gid").alias("top")).where("pivot != top").select("token", "pivot")
-    # Prefix shingles that two groups at least have.
-    meet = tokens.join(shared, "token").groupBy("token", "pivot", "gid").agg(F.min("at").alias("at"))
-    meet = materialize(meet.select("token", "pivot", "gid", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("pos")), "shared")
-    member = classes.select("gid", "fp", "n", "bits")
-    # One member of each group speaks for it in the first pass.
-    groups = materialize(member.groupBy("gid").agg(F.min(F.struct("fp", "n", "bits")).alias("rep"), F.count(F.lit(1)).alias("c")), "groups")
-
-    def fits(x_n, x_pos, y_n, y_pos):
-        """Sizes and places that allow similarity t, if the shingle at these places is the first common one."""
-        most = F.least(x_n - x_pos, y_n - y_pos)
-        return (x_n * den >= y_n * num) & (y_n * den >= x_n * num) & (most * (den + num) >= (x_n + y_n) * num)
+    shared = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("top")).where("low != top").select("token")
+    member = classes.select("gid", "fp", "n", "bits", "s0", "s1", "s2", "s3")
+    # One member of each group speaks for it in the first pass; short bitmaps only for groups of one.
+    groups = materialize(
+        member.groupBy("gid").agg(F.min(F.struct("fp", "n", "bits")).alias("rep"), F.count(F.lit(1)).alias("c"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]), "groups"
+    )
+    # Prefix shingles that two groups at least have. A group with many of them, and with common ones, is
+    # near the middle of its cluster, where few own changes come before what all share: a good pivot.
+    meet = tokens.join(shared, "token", "left_semi").groupBy("token", "gid").agg(F.min("at").alias("at"))
+    meet = materialize(meet.select("token", "gid", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("pos")), "shared")
+    weight = meet.join(meet.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").groupBy("gid").agg(F.sum("c").alias("weight"))
+    sig = groups.select("gid", (F.col("c") == 1).alias("solo"), "s0", "s1", "s2", "s3").join(weight, "gid")
+    meet = materialize(meet.join(sig, "gid"), "meeting")
 
     def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        cols = ("gid", "n", "pos", *more)
+        cols = ("gid", "n", "pos", "solo", "s0", "s1", "s2", "s3", *more)
         return tuple(df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "xy")
 
-    def fields(side: str, of: DataFrame, *more: str) -> DataFrame:
-        return of.select(F.col("gid").alias(f"{side}_gid"), F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more])
-
-    close = fits(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
-    pivots, others = sides(meet.where("gid = pivot"))[0], sides(meet.where("gid != pivot"))[1]
-    stars = pivots.join(others, "token").where(close).select("x_gid", "y_gid").distinct()
+    def fields(side: str, of: DataFrame, gid: str, *more: str) -> DataFrame:
+        return of.select(F.col("gid").alias(gid), F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"), *[F.col(c).alias(f"{c}_{side}") for c in more])
+
+    # Sizes, places (if the shingle there is the first common one) and short bitmaps that allow similarity t.
+    x_n, y_n = F.col("x_n"), F.col("y_n")
+    most = F.least(x_n - F.col("x_pos"), y_n - F.col("y_pos"))
+    differ = sum((F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    close = (
+        (x_n * den >= y_n * num) & (y_n * den >= x_n * num) & (most * (den + num) >= (x_n + y_n) * num)
+        & (~F.col("x_solo") | ~F.col("y_solo") | ((x_n + y_n - differ) * (num + den) >= (x_n + y_n) * 2 * num))
+    )
     reps = groups.select("gid", "rep.fp", "rep.n", "rep.bits")
-    stars = stars.join(fields("a", reps).withColumnRenamed("a_gid", "x_gid"), "x_gid").join(fields("b", reps).withColumnRenamed("b_gid", "y_gid"), "y_gid")
+    cols = ["a", "na", "ba", "b", "nb", "bb"]
+
+    def expanded(pairs: DataFrame) -> DataFrame:
+        return pairs.join(fields("a", reps, "x_gid"), "x_gid").join(fields("b", reps, "y_gid"), "y_gid").select(cols)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return _may_link(pairs, t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    lead = meet.groupBy("token").agg(F.max(F.struct("weight", "gid")).alias("top")).select("token", F.col("top.gid").alias("pivot"))
+    led = meet.join(lead, "token")
+    pivots, others = sides(led.where("gid = pivot"))[0], sides(led.where("gid != pivot"))[1]
+    stars = expanded(pivots.join(others, "token").where(close).select("x_gid", "y_gid").distinct())
     several = groups.where("c > 1").select("gid", F.col("rep.fp").alias("a"), F.col("rep.n").alias("na"), F.col("rep.bits").alias("ba"))
     inner = member.join(several, "gid").where("fp != a").select("a", "na", "ba", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    cols = ["a", "na", "ba", "b", "nb", "bb"]
-    first = _may_link(stars.select(cols).union(inner.select(cols)), t)
-    first = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    comps = connected_components(_verified(docs, classes, first, k, t))
+    tried = materialize(ordered(stars.union(inner.select(cols))), "pairs")
+    comps = connected_components(_verified(docs, classes, tried, k, t))
+    meeting = materialize(member.join(meet.select("gid").union(several.select("gid")).distinct(), "gid"), "members")
 
     def across(comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Components of members, their range in each group, and the prefix shingles that meet several."""
-        label = materialize(member.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "labelled")
+        label = materialize(meeting.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "labelled")
         span = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         spread = meet.join(span, "gid")
         crossed = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
-        left_over = materialize(spread.join(crossed, "token", "left_semi").select("token", "gid", "n", "pos", "lo", "hi"), "open")
-        return label, span, left_over
+        return label, span, materialize(spread.join(crossed, "token", "left_semi"), "open")
 
-    # Then across components only. Stars from other pivots come first, as long as they join much: a
-    # cluster of near copies that its first pivot links in part would give most of its pairs.
-    tried = first
+    # Then across components only. Stars from other pivots come first where the first ones say that most
+    # pairs are still near: a cluster that its pivot links in part would give all its pairs.
     for turn in range(TURNS + 1):
         label, span, left_over = across(comps)
-        by_comp = left_over.groupBy("token", "lo").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid")).alias("gid"))
-        tops = by_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max(F.struct("c", "lo", "gid")).alias("top"))
-        rows, pairs = tops.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.lit(0.0))).first()
-        if turn == TURNS or pairs <= 8 * rows:
+        if turn == TURNS:
+            break
+        by_comp = left_over.groupBy("token", "lo").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(F.xxhash64("gid", F.lit(turn)), "gid")).alias("gid"))
+        tops = by_comp.groupBy("token").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "lo", "gid")).alias("top"))
+        led = left_over.join(tops.select("token", "rows", F.col("top.lo").alias("lead"), F.col("top.gid.gid").alias("pivot")), "token")
+        pivots, others = sides(led.where("gid = pivot"))[0], sides(led.where("(lo != lead or hi != lead) and gid != pivot"), "rows")[1]
+        near = materialize(pivots.join(others, "token").where(close).select("x_gid", "y_gid", "y_rows"), "stars")
+        ahead = near.agg(F.coalesce(F.sum("y_rows"), F.lit(0))).first()[0]  # what pairs of all with all would come to
+        if ahead <= 4 * meet.count():
             break
-        lead = tops.select("token", F.col("top.lo").alias("lead"), F.col("top.gid.gid").alias("pivot"))
-        led = left_over.join(lead, "token")
-        pivots, others = sides(led.where("gid = pivot"))[0], sides(led.where("lo != lead or hi != lead"))[1]
-        stars = pivots.join(others, "token").where(close & (F.col("x_gid") != F.col("y_gid"))).select("x_gid", "y_gid").distinct()
-        stars = stars.join(fields("a", reps).withColumnRenamed("a_gid", "x_gid"), "x_gid").join(fields("b", reps).withColumnRenamed("b_gid", "y_gid"), "y_gid")
-        fresh = _may_link(stars.select(cols), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = ordered(expanded(near.select("x_gid", "y_gid").distinct()))
         fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(docs, classes, fresh, k, t)
         tried = tried.union(fresh)
+        more = _verified(docs, classes, fresh, k, t)
         if more.isEmpty():
             break
         known = comps.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
@@ -324,12 +340,10 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
     x, y = sides(left_over, "lo", "hi")
     one = (F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo"))
     crossing = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & ~one & close).select("x_gid", "y_gid").distinct()
-    ours, theirs = fields("a", label, "comp").withColumnRenamed("a_gid", "x_gid"), fields("b", label, "comp").withColumnRenamed("b_gid", "y_gid")
-    outer = crossing.join(ours, "x_gid").join(theirs, "y_gid").where("comp_a != comp_b")
+    outer = crossing.join(fields("a", label, "x_gid", "comp"), "x_gid").join(fields("b", label, "y_gid", "comp"), "y_gid").where("comp_a != comp_b")
     within = label.join(span.where("lo != hi").select("gid"), "gid", "left_semi")
-    within = fields("a", within, "comp").join(fields("b", within, "comp"), F.col("a_gid") == F.col("b_gid")).where("a < b and comp_a != comp_b")
-    second = _may_link(outer.select(cols).union(within.select(cols)), t)
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    within = fields("a", within, "_gid", "comp").join(fields("b", within, "_gid", "comp"), "_gid").where("a < b and comp_a != comp_b")
+    second = ordered(outer.select(cols).union(within.select(cols)))
     second = materialize(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return comps
