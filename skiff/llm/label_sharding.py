@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation, under the law that shard sizes in rows differ by one at most.
 
 Documents with equal texts are linked, through one hub for each text. A document starts in the
-shard that its place in a hash order gives, so all shards are full. Each round joins documents with
+shard that its place in the order of hubs (digests of the texts) gives, so all shards are full and few
+groups are cut. Each round joins documents with
 their hub's counts, finds the shard where most of the linked documents are, and wishes to
 move there. For each pair of shards as many documents move one way as the other, so quotas
 hold after every move: wishes with the largest gain go first, and documents without links, which
@@ -31,7 +32,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6) -> D
     )
     # Equal documents are told apart by their number, from one range sort; hot texts spread by it.
     rows = rows.withColumn("_mix", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("_all", F.lit(0))
-    rows = rank_in_class(rows, ["_all"], ["_mix", "doc_id"], "key").drop("_all", "_mix")
+    rows = rank_in_class(rows, ["_all"], ["hub", "_mix", "doc_id"], "key").drop("_all", "_mix")
     total = rows.count()
     # Contiguous eighths of the order: counts differ by one at most from the start.
     small, extra = divmod(total, shards)
