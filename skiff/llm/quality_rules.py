@@ -33,6 +33,7 @@ def rules() -> dict[str, Column]:
         "word_length": _vote(mean_length.between(3.2, 8) & some, (mean_length < 2.2) | (mean_length > 12)),
         "sentences": _vote((F.col("n_stops") / words).between(0.02, 0.4) & some, (F.col("n_stops") / words < 0.002) & (F.col("n_words") >= 50)),
         "symbols": _vote(None, F.col("n_symbols") / words > 0.15),
+        "marks": _vote(None, F.col("n_symbols") / words > 0.5),
         "pipes": _vote(None, F.col("n_pipes") / words > 0.1),
         "bangs": _vote(None, F.col("n_bangs") / words > 0.3),
         "case": _vote(None, F.col("n_upper") / letters > 0.5),
