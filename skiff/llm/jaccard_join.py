@@ -246,12 +246,12 @@ def drop_near_copies(documents: DataFrame, k: int = 5, threshold: Fraction | str
     A null id comes last; rows with equal id and text are one. Rows with empty sets all stay but for
     those. All columns are kept.
     """
-    names = documents.columns
-    docs = documents.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64("text"))
+    least = F.lit(-(1 << 63))
+    docs = documents.select(F.struct("*").alias("_row"), F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_key"))
     found = materialize(_components(documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")), k, Fraction(threshold)), "components")
     best = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at")).select("at.doc_id", "at.text_key")
-    stay = best.union(found.where("comp is null").select("doc_id", "text_key")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*names)
+    stay = best.union(found.where("comp is null").select("doc_id", "text_key")).select(F.coalesce("doc_id", least).alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("_row.*")
 
 
 def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
