@@ -13,12 +13,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tests_llm_shared import WORD, brute_components, brute_cut
 
 from skiff.llm import best_fit_packing, jaccard_join, label_sharding, projection_index, quality_rules, rule_classifier, segment_bpe, suffix_dedup, suffix_sort, toxicity, warc_bundles
 from skiff.llm.queries import tokenizer
 from skiff.llm.textkit import Words, utf8
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [(None, None), (None, "a b c d e f"), (1, ""), (1, " \n\t"), (2, "one"), (2, "one"), (3, "ONE"), (4, "é" * 50), (5, "x " * 400), (6, "x " * 400)]
 
 
@@ -58,29 +58,6 @@ def test_words(texts):
 # --- 2: Jaccard join
 
 
-def brute_components(rows, k, t):
-    sets = []
-    for d, x in rows:
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
-        sets.append((d, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
-    home = list(range(len(sets)))
-
-    def root(i):
-        while home[i] != i:
-            i = home[i]
-        return i
-
-    for i, (_, a) in enumerate(sets):
-        for j, (_, b) in enumerate(sets[:i]):
-            if a and b and len(a & b) >= t * len(a | b):
-                home[root(i)] = root(j)
-    least = {}
-    for i, (d, a) in enumerate(sets):
-        if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return sorted(((d, len(a), least.get(root(i))) for i, (d, a) in enumerate(sets)), key=str)
-
-
 @pytest.mark.parametrize("k,t,turns", [(3, "0.9", 2), (5, "0.8", 0), (2, "0.5", 2)])
 def test_jaccard(spark, monkeypatch, k, t, turns):
     monkeypatch.setattr(jaccard_join, "TURNS", turns)
@@ -122,20 +99,6 @@ def test_deep_shallow_order(texts):
     assert lcp == [0 if i == 0 else suffix_sort.common(texts[order[i - 1]], texts[order[i]]) for i in range(len(order))]
 
 
-def brute_cut(rows, length):
-    raw = [(d, (t or "").encode()) for d, t in rows]
-    seen = collections.Counter(t[i : i + length] for _, t in raw for i in range(len(t) - length + 1))
-    out = []
-    for d, t in raw:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((d, len(t), sum(gone), runs, bytes(b for b, g in zip(t, gone) if not g)))
-    return sorted(out, key=str)
-
-
 @pytest.mark.parametrize("length,block", [(20, 4096), (40, 2), (33, 5)])
 def test_suffix_dedup(spark, length, block):
     rows = some_texts(length)
