@@ -25,9 +25,11 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from skiff.llm.common import arrow_map, materialize
 from skiff.llm.suffix_sort import repeats
-from skiff.llm.textkit import _BYTE, SLICE, U, mix, powers, utf8
+from skiff.llm.textkit import _BYTE, U, mix, powers, utf8
 
 GRAM = 32
+#: Bytes of text whose anchors are found together.
+SLICE = 2 << 20
 #: Contexts of one anchor hash that one task sorts together.
 BLOCK = 4096
 _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
