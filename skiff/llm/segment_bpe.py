@@ -204,7 +204,7 @@ class Codec:
             # After a letter a single mark is a word of its own, so the rest may be known.
             rest = known.get(c[:-1]) if c[-1] in ",.!?;:" and c[-2:-1].isalpha() else None
             if rest is None:
-                split[c] = find(c)
+                split[c] = [c] if c.isalpha() else find(c)
             else:
                 mark = known.get(c[-1])
                 if mark is None:
