@@ -234,7 +234,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, threshold: Fraction | s
     """
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     found = materialize(_components(docs, k, Fraction(threshold)), "components")
-    heads = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has plain exchanges on both sides, which Spark can split at a hot component.
+    heads = materialize(found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "heads")
     return found.join(heads, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -258,14 +258,15 @@ def repeated_spans(docs: DataFrame, length: int, block: int = BLOCK) -> DataFram
     """(doc_id, text_key, begin, until) of stretches that the repeats cover; they may overlap."""
     rows = materialize(anchor_rows(docs, length), "anchors")
     local = rows.where("h is null").select("doc_id", "text_key", F.col("pos").alias("begin"), (F.col("pos") + F.col("right")).alias("until"))
-    hashes = rows.where("h is not null").groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
+    # Aggregates are written before they are joined: Spark can then split a hot hash in the join.
+    hashes = materialize(rows.where("h is not null").groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "hashes")
     found = materialize(rows.join(hashes, "h", "left_semi"), "candidates")
     contexts = materialize(
         found.groupBy("h", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("doc_id", "text_key", "pos", "left", "right")).alias("at")), "contexts"
     )
     whole = contexts.where("n > 1").select("h", "c")
     spans = found.join(whole, ["h", "c"], "left_semi").select("doc_id", "text_key", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right")).alias("until"))
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    several = materialize(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "several")
     wanted = contexts.join(several, "h").select(
         "h", "c", (F.col("n") > 1).alias("whole"), "at", F.ceil(F.col("d") / block).cast("int").alias("blocks")
     ).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
