@@ -34,10 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut what is covered by repeated strings of 400 bytes; bytes of letters that a cut splits go too."""
-    cut = suffix_dedup.with_cut(_rows(docs), 400, suffix_dedup.BLOCK, "_row")
-    # make_valid_utf8 marks what is not whole; the text itself may hold that mark only if it had it.
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    text = F.when(F.col("n_removed") == 0, F.col("_row.text")).otherwise(whole)
+    cut = suffix_dedup.with_cut(_rows(docs), 400, suffix_dedup.BLOCK, "_row", as_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("_row.text")).otherwise(F.col("kept"))
     return cut.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from skiff.llm.common import arrow_map, materialize
 from skiff.llm.suffix_sort import repeats
@@ -281,8 +281,11 @@ def repeated_spans(docs: DataFrame, length: int, block: int = BLOCK) -> DataFram
 CUT = StructType([StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
 
 
-def with_cut(docs: DataFrame, length: int, block: int, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (doc_id, text) and n_bytes, n_removed, n_spans and kept."""
+def with_cut(docs: DataFrame, length: int, block: int, *keep: str, as_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (doc_id, text) and n_bytes, n_removed, n_spans and kept.
+
+    With ``as_text`` kept is a string: bytes of letters that a cut splits go too, and nothing else.
+    """
     docs = docs.select(*keep, F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
     docs = docs.withColumn("_key", F.xxhash64("_text"))
     spans = repeated_spans(docs.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.col("_key").alias("text_key")), length, block)
@@ -308,12 +311,14 @@ def with_cut(docs: DataFrame, length: int, block: int, *keep: str) -> DataFrame:
             removed.append(gone)
             runs.append(n)
             kept.append(b"".join(left))
+        rest = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+            [*batch.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), rest],
             [*keep, *CUT.names],
         )
 
-    return arrow_map(joined, cut, StructType([*joined.schema.fields[:-2], *CUT.fields]))
+    made = [*CUT.fields[:-1], StructField("kept", StringType())] if as_text else CUT.fields
+    return arrow_map(joined, cut, StructType([*joined.schema.fields[:-2], *made]))
 
 
 def suffix_dedup(documents: DataFrame, length: int = 400, block: int = BLOCK) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_shared import brute_components, brute_cut
 
 import corpus_pipeline
@@ -58,3 +59,14 @@ def test_all_is_packed(steps):
     for r in rows:
         total[r.sequence_id] += r.length
     assert max(total.values()) <= 1024
+
+
+def test_a_mark_in_the_text_survives_a_cut(spark):
+    same = "".join(chr(97 + i * i % 26) + chr(97 + i * 7 % 23) for i in range(250))
+    # The repeat starts and ends inside letters: their other bytes go, the marks of the input stay.
+    docs = spark.createDataFrame([(1, f"one \ufffd mark \u00e9{same}\u00e0 and \ufffd"), (2, f"other \u0169{same}\u00e1 end"), (3, "no cut \ufffd"), (4, None)], "doc_id long, text string")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeats(spark, docs, DATA).collect()}
+    want = {d: kept.decode(errors="ignore") for d, _, _, _, kept in brute_cut([(r.doc_id, r.text) for r in docs.where("text is not null").collect()], 400)}
+    assert got == {d: (t, len(t)) for d, t in want.items()} | {4: (None, None)}
+    assert got[1][0].count("\ufffd") == 2 and same not in got[1][0]
