@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import copy
+import pickle
 from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StructField
 
 from skiff.functions import dates, numeric, text
+from skiff.operators.folds import fold_runs
 from skiff.operators.position import with_position
-from skiff.plans.values import Value, compile_row, compile_scalar, kind_of
+from skiff.plans.values import RETURNS, Value, compile_row, compile_scalar, kind_of
 
 NAN = float("nan")
 
@@ -334,11 +338,14 @@ class Series:
         f = F.var_samp if variance_parity else F.stddev_samp
         return self.frame.df.agg(F.coalesce(f(self.col), F.lit(0.0)).alias("stdev"))
 
-    def fold(self, start: Any, step: Callable, groups: Sequence[str] = ()) -> DataFrame:
-        """An ordered fold of the values of each group with ``step(state, value)`` over Columns; a group has to fit a row."""
-        keys = [F.col(c) for c, _ in self.frame.order]
-        items = F.transform(F.array_sort(F.collect_list(F.struct(*keys, self.col.alias("_v")))), lambda p: p["_v"])
-        return self.frame.df.groupBy(*groups).agg(F.aggregate(items, F.lit(start), step).alias("fold"))
+    def fold(self, start: Any, step: Callable, groups: Sequence[str] = (), returns: str | None = None) -> DataFrame:
+        """An ordered fold of the values of each group with ``step(state, value)`` over Python values.
+
+        The rows of a group are sorted and streamed through one task, which holds the state only.
+        NULL values are left out; a group of nothing else gives NULL, no values without groups give ``start``.
+        ``returns`` is the type of the result where ``start`` does not tell it.
+        """
+        return _ordered_fold(self.frame, list(groups), self.col, start, step, lambda s: s, StructField("fold", _type_of(start, returns)))
 
     @property
     def str(self) -> _Text:
@@ -412,7 +419,39 @@ class Groups:
         df = self.frame.df.groupBy(*self.by).agg(F.countDistinct(self.value).alias(self.value))
         return Frame(df, self.by, [(k, True) for k in self.by])
 
-    def aggregate(self, init: Any, update: Callable, finalize: Callable = lambda s: s) -> DataFrame:
-        """A user's aggregate over ``value``: a fold over the values of each group in the frame's order."""
-        items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c, _ in self.frame.order], F.col(self.value).alias("_v"))))
-        return self.frame.df.groupBy(*self.by).agg(F.aggregate(F.transform(items, lambda p: p["_v"]), F.lit(init), update, finalize).alias(self.value))
+    def aggregate(self, init: Any, update: Callable, finalize: Callable = lambda s: s, combine: Callable | None = None, returns: str | None = None) -> DataFrame:
+        """A user's aggregate over ``value``: functions of Python values, by ``update(state, value)`` from ``init``.
+
+        With ``combine(state, state)`` every partition is folded before the shuffle, so a group of any size sends one
+        state for each partition; the order of rows has no meaning then, and ``init`` must change nothing
+        in ``combine``. Without it the rows of a group are folded in the frame's order, streamed through one task.
+        NULL values are left out, and a group of nothing else gives NULL, as in SQL. ``returns`` is the
+        type of the result where ``init`` does not tell it.
+        """
+        to = StructField(self.value, _type_of(init, returns))
+        if combine is None:
+            return _ordered_fold(self.frame, self.by, F.col(self.value), init, update, finalize, to)
+        rows = self.frame.df.select(*self.by, F.col(self.value).alias("_v")).sortWithinPartitions(*self.by)
+        partial = fold_runs(rows, self.by, lambda v: update(copy.deepcopy(init), v), update, pickle.dumps, StructField("_s", BinaryType()))
+        met = partial.repartition(*self.by).sortWithinPartitions(*self.by)
+        return fold_runs(met, self.by, pickle.loads, lambda s, t: combine(s, pickle.loads(t)), finalize, to)
+
+
+def _type_of(start: Any, returns: str | None) -> DataType:
+    if returns is None and type(start) not in RETURNS:
+        raise TypeError("this state does not tell the type of the result: give returns")
+    return DataType.fromDDL(returns or RETURNS[type(start)])
+
+
+def _ordered_fold(frame: Frame, by: list[str], value: Column, start: Any, step: Callable, finish: Callable, to: StructField) -> DataFrame:
+    """Values of equal place in the order, or without one, are folded by size."""
+    rows = frame.df.select(*dict.fromkeys([*by, *(c for c, _ in frame.order)]), value.alias("_v"))
+    sorts = [*(frame._sorts() if frame.order else ()), F.col("_v")]
+    if by:
+        dealt = rows.repartition(*by)
+    else:  # a row without a value, so that there is a result without rows
+        none = frame.df.sparkSession.range(1).select(F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"))
+        dealt = rows.unionByName(none, allowMissingColumns=True).repartition(1)
+    ordered = dealt.sortWithinPartitions(*by, *sorts).select(*by, "_v")
+    empty = None if by else finish(copy.deepcopy(start))
+    return fold_runs(ordered, by, lambda v: step(copy.deepcopy(start), v), step, finish, to, empty)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from skiff.functions import numeric, text
 from skiff.operators.arrays import Grid
+from skiff.operators.folds import fold_runs
 from skiff.operators.position import materialize
 
 
@@ -69,42 +72,55 @@ def crime_index(population: Column, adults: Column, robberies: Column) -> Column
     return F.when(value > 0.02, 0.032).when(value < 0.01, 0.005).otherwise(value)
 
 
+class Signal:
+    """The state of ``peaks``: the last ``lag`` smoothed values and the band they give."""
+
+    def __init__(self, lag: int, threshold: float, influence: float):
+        self.lag, self.threshold, self.influence = lag, threshold, influence
+        self.smooth: deque[float] = deque(maxlen=lag)
+        self.center = self.spread = 0.0
+        self.total = 0
+
+    def push(self, value: float) -> int:
+        x, lag, found = float(value), self.lag, 0
+        if len(self.smooth) < lag:
+            self.smooth.append(x)
+            return 0
+        out = abs(x - self.center) > self.threshold * self.spread
+        if out:
+            found = 1 if x > self.center else -1
+        window = list(self.smooth)
+        self.smooth.append(self.influence * x + (1 - self.influence) * window[-1] if out else x)
+        self.center = sum(window) / lag
+        self.spread = sum((v - self.center) ** 2 for v in window) / (lag - 1) if lag > 1 else 0.0
+        self.total += found
+        return found
+
+    def then(self, value: float) -> Signal:
+        self.push(value)
+        return self
+
+
 def peaks(volume: list[float], lag: int = 100, threshold: float = 10.0, influence: float = 0.5) -> list[int]:
     """1 or -1 where a value leaves the band about the mean of a window of smoothed values, else 0.
 
     The band of place i comes from the ``lag`` smoothed values before place i - 1; at the first
     place after the lead-in it is empty, about 0. Spread is the sample variance.
     """
-    signal = [0] * len(volume)
-    if len(volume) <= lag:
-        return signal
-    smooth, center, spread = [float(v) for v in volume[:lag]], 0.0, 0.0
-    for i in range(lag, len(volume)):
-        x = float(volume[i])
-        out = abs(x - center) > threshold * spread
-        if out:
-            signal[i] = 1 if x > center else -1
-        window = smooth[i - lag :]
-        smooth.append(influence * x + (1 - influence) * smooth[-1] if out else x)
-        center = sum(window) / lag
-        spread = sum((v - center) ** 2 for v in window) / (lag - 1) if lag > 1 else 0.0
-    return signal
+    signal = Signal(lag, threshold, influence)
+    return [signal.push(v) for v in volume]
 
 
 def tick_peaks(ticks: DataFrame, symbol: str, time: Column, volume: Column, lag: int = 100, threshold: float = 10.0, influence: float = 0.5) -> DataFrame:
     """(symbol, peaks): the sum of the signals of each symbol's volume by second.
 
     The aggregation by second runs in the JVM; only the recurrence, which needs its own last
-    results, runs in Python on the series of one symbol, one value for each second.
+    results, runs in Python. It streams the sorted seconds of a symbol and holds the last ``lag`` values.
     """
     per_second = ticks.groupBy(F.col(symbol).alias("symbol"), F.date_trunc("second", time).alias("second")).agg(F.sum(volume).alias("v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        series = pdf.sort_values("second")["v"].tolist()
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "peaks": [sum(peaks(series, lag, threshold, influence))]})
-
-    kind = dict(per_second.dtypes)["symbol"]
-    return per_second.groupBy("symbol").applyInPandas(run, f"symbol {kind}, peaks long")
+    value = F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))
+    rows = per_second.repartition("symbol").sortWithinPartitions("symbol", F.col("second").asc_nulls_last()).select("symbol", value.alias("v"))
+    return fold_runs(rows, ["symbol"], lambda v: Signal(lag, threshold, influence).then(v), Signal.then, lambda s: s.total, StructField("peaks", LongType()))
 
 
 def preferences(ballots: DataFrame, voter: str, ranked: str) -> DataFrame:

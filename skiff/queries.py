@@ -269,7 +269,7 @@ def series_sum_string(spark, d):
 @query("SELECT user_id, round(sum(value * value), 2) AS squares FROM events GROUP BY 1")
 def custom_aggregate(spark, d):
     g = frame(spark, d, "events", [("event_id", True)]).groupby("user_id")["value"]
-    return g.aggregate(0.0, lambda s, v: s + v * v).select("user_id", F.round("value", 2).alias("squares"))
+    return g.aggregate(0.0, lambda s, v: s + v * v, combine=lambda a, b: a + b).select("user_id", F.round("value", 2).alias("squares"))
 
 
 @query("SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, list_min(embedding) AS low, list_max(embedding) AS high FROM embeddings")

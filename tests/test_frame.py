@@ -131,3 +131,28 @@ def test_mask_fillna_strings(abc):
     assert {r[0] for r in t.upper().to_df("v").select("v").collect()} == set("ABCD")
     assert abc["c"].str.slice(0, 1).to_df("v").count() == 4
     assert abc.df.select(F.lit(1)).count() == 4
+
+
+def test_aggregate_folds_partitions_before_the_shuffle(spark):
+    data = [(i % 3 if i % 2 else None, float(i)) for i in range(1000)] + [(9, None), (1, None)]
+    f = Frame(spark.createDataFrame(data, "k long, v double").repartition(8))
+    out = f.groupby("k")["v"].aggregate((0.0, 0), lambda s, v: (s[0] + v, s[1] + 1), lambda s: s[0] / s[1], lambda a, b: (a[0] + b[0], a[1] + b[1]), "double")
+    want = {k: [v for x, v in data if x == k and v is not None] for k, _ in data}
+    assert {r.k: r.v for r in out.collect()} == {k: sum(v) / len(v) if v else None for k, v in want.items()}
+    text = plan(out)
+    assert "collect_list" not in text and [s for s in text.split() if s.startswith("MapInArrow") or s.startswith("Exchange")][:3] == ["MapInArrow", "Exchange", "MapInArrow"]
+
+
+def test_folds_keep_the_order_and_hold_no_group(abc, spark):
+    down = abc.sort_values("b", False)
+    assert rows(down["c"].fold("", lambda s, v: s + v)) == [("dabc",)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        out = down["c"].fold("", lambda s, v: s + v, ["a"])
+        assert sorted(rows(out)) == [(0, "a"), (1, "d"), (2, "bc")] and "collect_list" not in plan(out)
+        assert sorted(rows(down.groupby("a")["b"].aggregate(1.0, lambda s, v: s * 10 + v))) == [(0, 12.2), (1, 13.3), (2, 111.0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(abc[abc["a"] > 5]["a"].fold(7, lambda s, v: s + v)) == [(7,)]
+    with pytest.raises(TypeError):
+        abc.groupby("a")["b"].aggregate((0.0, 0), lambda s, v: s)

@@ -76,6 +76,19 @@ def test_workloads(spark):
     assert sum(workloads.peaks([1.0] * 150)) in (0, 1)
 
 
+def test_ticks_stream(spark):
+    values = {k: [(i * i * (j + 3)) % 17 + 900 * (i % 41 == 0) for i in range(200)] for j, k in enumerate(["a", "b", None])}
+    ticks = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "k string, i long, v long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = workloads.tick_peaks(ticks, "k", F.timestamp_seconds("i"), F.col("v"), lag=5, threshold=2.0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {r.symbol: r.peaks for r in out.collect()} == {k: sum(workloads.peaks(v, 5, 2.0)) for k, v in values.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def test_listing_fixture(spark):
     df = spark.createDataFrame(
         [(f"{b} bds , {b - 1} ba , {q} sqft", t, p, z, "New York", "NY", "u", "1 Fifth Ave") for b, q, t, p, z in ((2, "1,000", "House For Sale", "$100,000", "10001"), (3, "1,500", "House For Rent", "$2,000/mo", "10002"), (4, "2,000", "House For Sale", "$200,000", "10003"))],
