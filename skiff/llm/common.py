@@ -57,23 +57,24 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, y) of at most ``max_rows`` labelled documents outside the held-out fold.
+    """(_id, text, y) of ``max_rows`` labelled documents outside the held-out fold, or of all where there are fewer.
 
-    The bound is taken over the labels by a hash of the id, so a small table gives all its
-    rows and a large one a uniform sample. Rows with a null id, label or text give nothing;
-    an id with several labels takes the largest.
+    The bound is taken by a hash of the id over the labels that a document with a text has, so a small
+    table gives all its rows and a large one a uniform sample. Rows with a null id, label or text give
+    nothing; an id with several labels takes the largest, one on several documents the least text.
     """
+    docs = documents.select(F.col("doc_id").alias("_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("_id")) != 0))
         .groupBy("_id")
         .agg(F.max("y").alias("y"))
+        .join(docs.select("_id").distinct(), "_id")
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_rows)
     )
-    docs = documents.select(F.col("doc_id").alias("_id"), "text").where(F.col("text").isNotNull())
     # max_rows ids and ints: the size of this broadcast does not depend on the corpus.
-    return docs.join(F.broadcast(chosen), "_id").select("_id", "text", "y")
+    return docs.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min("text").alias("text")).select("_id", "text", "y")
 
 
 def rank_in_class(df: DataFrame, classes: list[str], order: list[str], rank: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tests_llm_shared import WORD, brute_components, brute_cut
 
 from skiff.llm import best_fit_packing, jaccard_join, label_sharding, projection_index, quality_rules, rule_classifier, segment_bpe, suffix_dedup, suffix_sort, toxicity, warc_bundles
+from skiff.llm.common import training_rows
 from skiff.llm.queries import tokenizer
 from skiff.llm.textkit import Words, utf8
 
@@ -335,3 +336,13 @@ def test_sharding(spark):
         shards[r.text_crc32].add(r.shard)
     cut = sum(len(shards[zlib.crc32(f"x{i}".encode())]) > 1 for i in range(15))
     assert cut == 0 and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
+def test_training_rows_are_bounded_and_filled(spark):
+    docs = documents(spark, [(7, f"copy {i}") for i in range(60)] + [(i, f"text {i}") for i in range(100, 140)] + [(141, None)])
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 1000)], "doc_id long, toxic int")
+    usable = {i for i in [7, *range(100, 140)] if zlib.crc32(str(i).encode()) % 5}
+    for bound in (20, 1000):
+        got = training_rows(docs, labels, "toxic", bound).collect()
+        assert len(got) == len({r["_id"] for r in got}) == min(bound, len(usable)) and {r["_id"] for r in got} <= usable
+    assert 7 not in usable or [r["text"] for r in got if r["_id"] == 7] == ["copy 0"]
