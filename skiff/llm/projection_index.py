@@ -58,7 +58,7 @@ def kd_leaves(points: np.ndarray, leaf: int) -> tuple[list[np.ndarray], np.ndarr
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, limit: float, seed: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of the k nearest found in one block for each query."""
+    """(query, place, distance) of the k nearest found in one block for each query; ids are unique, ties go by place in x."""
     lines = np.random.default_rng(seed).normal(size=(x.shape[1], DIRECTIONS))
     leaves, low, high = kd_leaves(x @ lines, LEAF)
     found = []
@@ -73,7 +73,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             rows = np.concatenate([leaves[i] for i in order[s : s + STRIDE]])
             rows = rows[ids[rows] != qid]
             d = np.add.accumulate((x[rows] - v) ** 2, axis=1)[:, -1]  # summed in order, as plain loops do
-            d, i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
+            d, i = np.concatenate([best_d, d]), np.concatenate([best_i, rows])
             top = np.lexsort((i, d))[:k]
             best_d, best_i = d[top], i[top]
         found += [(qid, i, math.sqrt(d)) for i, d in zip(best_i.tolist(), best_d.tolist())]
@@ -86,7 +86,8 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, confidence: fl
     Returns query_id, rank (from 1), vec_id and score (Euclidean distance in double precision),
     nearest first, ties to the smaller vec_id. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do rows with a null id; vectors of different
-    lengths do not meet. A row repeating an id is one more candidate, so an id can come twice.
+    lengths do not meet. A row repeating an id is one more candidate, so an id can come twice; one
+    repeating a query's id is one more query with k rows of its own, which finds the other.
 
     ``block`` vectors and ``queries_at_once`` queries bound what a task holds: every block of queries
     meets every block of vectors once, and the results merge by rank. ``confidence`` is that of
@@ -96,25 +97,27 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, confidence: fl
     ok = v.isNotNull() & (F.size(v) > 0) & F.col("vec_id").isNotNull()
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = embeddings.where(ok).where(good).select("vec_id", v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
-    rows = materialize(rows, "vectors")
+    # Numbered and written once: a row is told from others of its id by its number.
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = -(-max(1, rows.count()) // block)
     runs = -(-max(1, asked.count()) // queries_at_once)
     limit = chi_square_quantile(confidence, DIRECTIONS)
     spot = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     turn = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(runs)).cast("int")
-    left = rows.select("dim", spot.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r"), "vec_id", "v")
-    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), turn.alias("r"), "vec_id", "v")
+    left = rows.select("dim", spot.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r"), "vec_id", "row", "v")
+    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), turn.alias("r"), "vec_id", "row", "v")
 
     def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         if len(points) and len(queries):
-            points = points.sort_values("vec_id", kind="stable")
+            points = points.sort_values(["vec_id", "row"])
             x, q = np.stack(points["v"].to_list()), np.stack(queries["v"].to_list())
-            out = search_block(points["vec_id"].to_numpy(), x, queries["vec_id"].to_numpy(), q, k, limit, seed)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            ids, numbers, asks = points["vec_id"].to_numpy(), points["row"].to_numpy(), dict(zip(queries["row"], queries["vec_id"]))
+            out = [(asks[n], n, ids[i], numbers[i], d) for n, i, d in search_block(numbers, x, queries["row"].to_numpy(), q, k, limit, seed)]
+        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "row", "score"]).astype({"query_id": "int64", "query_row": "int64", "vec_id": "int64", "row": "int64", "score": "float64"})
 
     keys = ["dim", "b", "r"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows for each block at most
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, query_row long, vec_id long, row long, score double")
+    w = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")  # k rows for each block at most
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -320,6 +320,17 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 9, 0.0), (0, 3, 7, 1.0), (0, 4, 100, 4.0), (100, 1, 7, 3.0), (100, 2, 0, 4.0), (100, 3, 1, 4.0), (100, 4, 9, 4.0)]
 
 
+def test_repeated_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), *((i, [float(i), 0.5]) for i in range(5, 25))]
+    got = collections.Counter(tuple(r) for r in projection_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, i) for m, (i, w) in enumerate(rows) if m != n)[:10]
+            want += [(q, r, i, d) for r, (d, i) in enumerate(near, 1)]
+    assert got == collections.Counter(want) and len(want) == 20
+
+
 # --- 10: sharding
 
 
