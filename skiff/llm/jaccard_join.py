@@ -170,14 +170,25 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, na, ba, b, nb, bb) whose sizes and bitmaps do not rule out similarity t."""
+    """The pairs (a, na, ba, b, nb, bb) whose sizes and bitmaps do not rule out similarity t.
+
+    The longer bitmap is halved to the length of the other. Sets of similarity t differ in size by the
+    factor 1 / t at most, so their bitmaps, of powers of two, by that rounded up to one.
+    """
 
     def half(bits, size):
         return F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
 
     least = F.least(F.size("ba"), F.size("bb"))
-    x = F.when(F.size("ba") > least, half(F.col("ba"), least)).otherwise(F.col("ba"))
-    y = F.when(F.size("bb") > least, half(F.col("bb"), least)).otherwise(F.col("bb"))
+    times = (-(-t.denominator // t.numerator) - 1).bit_length()
+
+    def folded(bits):
+        if times < 2:
+            return F.when(F.size(bits) > least, half(bits, least)).otherwise(bits)
+        turns = F.array(*[F.lit(i) for i in range(times)])
+        return F.aggregate(turns, bits, lambda s, _: F.when(F.size(s) > least, half(s, F.shiftright(F.size(s), 1))).otherwise(s))
+
+    x, y = folded(F.col("ba")), folded(F.col("bb"))
     differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     total = F.col("na") + F.col("nb")
     sizes = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)

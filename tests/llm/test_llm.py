@@ -67,6 +67,25 @@ def test_jaccard(spark, monkeypatch, k, t, turns):
     assert got == brute_components(rows, k, Fraction(t))
 
 
+def test_bitmaps_of_any_ratio_rule_out_no_link(spark):
+    # 32 of 65 hashes in the third of four words; all but one of the others in the first.
+    small = np.arange(128, 160)
+    big = np.concatenate([small, np.arange(32, 64), [168]])
+    sides = [x.astype(np.uint64) << np.uint64(20) for x in (small, big)]
+    one, two = ((len(u), jaccard_join.parity(u).tolist()) for u in sides)
+    assert [len(one[1]), len(two[1])] == [1, 4]
+    pairs = [[*one, *two], [*two, *one]]
+    df = spark.createDataFrame([(i, *p[:2], i, *p[2:]) for i, p in enumerate(pairs)], "a long, na long, ba array<long>, b long, nb long, bb array<long>")
+    assert jaccard_join._may_link(df, Fraction("0.3")).count() == len(pairs)
+
+
+def test_jaccard_at_a_low_threshold(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [*some_texts(6), (9001, " ".join(words[:33])), (9002, " ".join(words[:70])), (9003, " ".join(words))]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(documents(spark, rows), 2, "0.3").collect()), key=str)
+    assert got == brute_components(rows, 2, Fraction("0.3"))
+
+
 def test_one_of_each_component_stays(spark):
     rows = some_texts(8)[: -len(EDGE)] + [(d and d + 5000, t) for d, t in EDGE]
     kept = [r.doc_id for r in jaccard_join.drop_near_copies(documents(spark, rows), 3, "0.9").collect()]
