@@ -1,12 +1,16 @@
-"""Best-fit packing of token sequences by bulk-synchronous sweeps over sorted runs.
-
-Documents become pieces of at most ``capacity`` tokens. Pieces of equal length are interchangeable,
-so in range order they form one run each, and so do sequences with equal gaps: at most ``capacity``
-runs of either kind, whatever the corpus size. Each step sweeps the gaps upwards for the
-successor of the longest unplaced length, gives the gaps of that run to as many pieces by rank,
-moves these sequences to the run of their smaller gap, and goes on until every piece has a
-place. What the sweeps plan is (length, ranks) -> (sequences, offset); the pieces take their
-ranks from a distributed range sort and find their places in it.
+"""Best-fit packing of token sequences by bulk-synchronous sweeps over range-sorted documents and gaps.
+
+Documents become pieces of at most ``capacity`` tokens. Pieces of more than half of it open a sequence each. The
+others follow in classes of falling length, each in rounds until all its pieces have a place:
+
+1. Pieces and gaps are range-sorted together, largest first. Each range is swept: a piece goes to its
+   successor, the smallest gap of the range that takes it, and the gap goes on with what is left of it.
+2. What is left over in the ranges is ranked on one tape of tokens: a gap moves the place on the tape up, a
+   piece moves it down, so that a piece stands beside the smallest gap above it that no larger piece
+   has taken. Stretches of the tape are swept like ranges; where several pieces want one gap, the tape's
+   order decides.
+3. Gaps are updated. For the pieces that found none, as many sequences are opened as their tokens fill,
+   and the next round begins.
 """
 
 from __future__ import annotations
@@ -16,15 +20,13 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skiff.llm.common import arrow_map, materialize, rank_in_class
+from skiff.llm.common import arrow_map, map_batches, materialize
 
 #: Chunks of text that a worker remembers the ids of, and the longest of them.
 REMEMBER, LONGEST = 600_000, 40
@@ -104,70 +106,149 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return arrow_map(documents.select("doc_id", "text"), rows, PIECE)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, number, first sequence, offset) that place ``counts[length]`` pieces of each length.
+GAP, LEFT, PLACED = 0, 1, 2
+#: A gap has kind, size and key (its sequence) only; key is the number of a piece, and size its length.
+ROW = "kind int, size long, key long, stretch long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long, at long"
+GIVEN = [x.split()[0] for x in ROW.split(", ")][:-3]
+#: Tokens of one stretch of the tape, in sequences.
+STRETCH = 16
 
-    Longest first; a run goes to the smallest gap that takes it, or else opens sequences.
+
+class Gaps:
+    """Gaps by size, with the successor of a length in one step: sizes that are there are bits of a number."""
+
+    def __init__(self) -> None:
+        self.there, self.of = 0, {}
+
+    def put(self, size: int, key: int) -> None:
+        if size:
+            self.of.setdefault(size, []).append(key)
+            self.there |= 1 << size
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        """The smallest gap that takes ``length``, the last one put of that size."""
+        fit = self.there >> length
+        if not fit:
+            return None
+        size = length + (fit & -fit).bit_length() - 1
+        keys = self.of[size]
+        key = keys.pop()
+        if not keys:
+            del self.of[size]
+            self.there ^= 1 << size
+        return size, key
+
+
+def sweep(rows: DataFrame, capacity: int) -> DataFrame:
+    """Best-fit of the pieces of each run of equal ``stretch`` in a partition; rows are in falling order of size, gaps first.
+
+    Pieces come out placed or left, gaps with the sizes that they have then. ``at`` is the lower end of what is
+    left over on a tape that begins at 0: pieces downwards first, then gaps upwards.
     """
-    gaps: list[int] = []  # sorted sizes of the gaps there are
-    held: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, number)
-    plan, opened = [], 0
-
-    def give(gap: int, run: tuple[int, int]) -> None:
-        if gap:
-            if gap not in held:
-                held[gap] = []
-                insort(gaps, gap)
-            held[gap].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(gaps, length)
-            if k < len(gaps):
-                gap = gaps[k]
-                at, n = held[gap].pop()
-                if not held[gap]:
-                    del held[gap], gaps[k]
-                take = min(n, left)
-                if take < n:
-                    give(gap, (at + take, n - take))
-            else:  # whole sequences of this length, as many as are left would fill
-                gap, at = capacity, opened
-                take = -(-left // (capacity // length)) if length <= capacity // 2 else left
-                opened += take
-            plan.append((length, rank, take, at, capacity - gap))
-            give(gap - length, (at, take))
-            rank, left = rank + take, left - take
-    return plan
+    names = [x.split()[0] for x in ROW.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64()}
+    kinds = [types[x.split()[1]] for x in ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps, down, stretch = Gaps(), 0, None
+
+        def rest() -> pa.RecordBatch:
+            pairs = [(size, key) for size in sorted(gaps.of, reverse=True) for key in gaps.of[size]]
+            place, low = [], -down
+            for size, _ in pairs:
+                place.append(low)
+                low += size
+            n = len(pairs)
+            known = {"kind": [GAP] * n, "size": [p[0] for p in pairs], "key": [p[1] for p in pairs], "at": place}
+            return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(n, t) for c, t in zip(names, kinds)], names)
+
+        for batch in batches:
+            col = {c: batch.column(i).to_pylist() for i, c in enumerate(GIVEN[:4])}
+            mine, kind, sequence, offset, at = [], [], [], [], []
+            for i, (k, size, key, x) in enumerate(zip(col["kind"], col["size"], col["key"], col["stretch"])):
+                if x != stretch:
+                    if gaps.of:
+                        yield rest()
+                    gaps, down, stretch = Gaps(), 0, x
+                if k == GAP:
+                    gaps.put(size, key)
+                    continue
+                mine.append(i)
+                hit = gaps.take(size)
+                if hit is None:
+                    down += size
+                    kind.append(LEFT), sequence.append(None), offset.append(None), at.append(-down)
+                else:
+                    gaps.put(hit[0] - size, hit[1])
+                    kind.append(PLACED), sequence.append(hit[1]), offset.append(capacity - hit[0]), at.append(None)
+            docs = batch.take(pa.array(mine, pa.int64()))
+            new = {"kind": kind, "sequence_id": sequence, "offset": offset, "at": at}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], t) if c in new else docs.column(i) for i, (c, t) in enumerate(zip(names, kinds))], names)
+        if gaps.of:
+            yield rest()
+
+    return map_batches(rows.select(GIVEN), run, ROW)
+
+
+def _round(docs: DataFrame, gaps: DataFrame, capacity: int, shift: int) -> tuple[DataFrame, DataFrame]:
+    """The rows after the sweeps of ranges, and after those of stretches of the tape that hold what these left."""
+    order = [F.col("size").desc(), "kind", "key"]
+    union = docs.unionByName(gaps, allowMissingColumns=True).withColumn("stretch", F.lit(0).cast("long"))
+    dealt = union.repartitionByRange(*order).sortWithinPartitions(*order)
+    first = sweep(dealt, capacity).withColumn("stretch", F.spark_partition_id().cast("long"))
+    first = materialize(first, "ranges")
+    left = first.where(F.col("kind") != PLACED)
+    # One row for each task: where its part of the tape begins.
+    moved = left.groupBy("stretch").agg(F.sum(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size"))).alias("moved"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = moved.select("stretch", F.coalesce(F.sum("moved").over(before), F.lit(0)).alias("_begin"))
+    place: Column = F.floor((F.col("at") + F.col("_begin") + shift) / (STRETCH * capacity))
+    taped = left.join(F.broadcast(begins), "stretch").withColumn("stretch", place.cast("long"))
+    second = sweep(taped.repartition("stretch").sortWithinPartitions("stretch", *order), capacity)
+    return first, materialize(second, "stretches")
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Pack all documents into sequences of at most ``capacity`` tokens, as few as best-fit needs.
+    """Pack all documents into sequences of at most ``capacity`` tokens, as few as best-fit in bulk needs.
 
     Returns one row for each piece: doc_id, piece (from 0), start (ids of the document before it),
     length, ids_crc32 (of its ids as little-endian unsigned 32-bit integers), sequence_id and offset
     (gapless from 0). Only documents longer than ``capacity`` are cut; their first piece may be
     shorter. A null or empty text is the end id alone. Repeated rows and null ids are packed
-    like others; columns besides doc_id and text are ignored.
+    like others; columns besides doc_id and text are ignored. An empty table gives an empty one.
     """
-    cut = materialize(pieces(documents, tokenizer, capacity, end_id), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    plan = best_fit(counts, capacity)
-    ranked = rank_in_class(cut.withColumn("_tie", F.xxhash64("doc_id", "piece")), ["length"], ["_tie"], "_rank").drop("_tie")
-    # Runs in order of (length, rank): a few for each pair of a length and a gap, never by documents.
-    plan.sort()
-    run_length = np.array([p[0] for p in plan], np.int64)
-    run_rank = np.array([p[1] for p in plan], np.int64)
-    key = run_length * (1 << 50) + run_rank
-    sequence, offset = np.array([p[3] for p in plan], np.int64), np.array([p[4] for p in plan], np.int64)
-
-    def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-        run = np.searchsorted(key, length * (1 << 50) + rank, "right") - 1
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(sequence[run] + rank - run_rank[run], pa.int64()), pa.array(offset[run], pa.int64())],
-            [*batch.schema.names[:5], "sequence_id", "offset"],
-        )
-
-    return arrow_map(ranked, place, PIECE + ", sequence_id long, offset long")
+    cut = pieces(documents, tokenizer, capacity, end_id)
+    # Written once with a number for each piece, so that a row is told from its repetitions.
+    cut = materialize(cut.withColumnRenamed("length", "size").withColumn("key", F.monotonically_increasing_id()), "pieces")
+    # Classes halve twice, then go by four and take the rest: fewer rounds where pieces only fill up.
+    bounds = [x for x in (capacity // 2, capacity // 4, capacity // 8, capacity // 32) if x] + [0]
+    tokens = cut.agg(*[F.coalesce(F.sum(F.when((F.col("size") > a) & (F.col("size") <= b), F.col("size"))), F.lit(0)) for b, a in zip(bounds, bounds[1:])]).first()
+    alone = cut.where(F.col("size") > bounds[0])
+    placed = [alone.withColumns({"sequence_id": F.col("key"), "offset": F.lit(0).cast("long")})]
+    gap = F.lit(GAP).alias("kind")
+    gaps = [alone.where(F.col("size") < capacity).select(gap, (capacity - F.col("size")).alias("size"), "key")]
+    opened, turn = 0, 0
+    for b, a, left in zip(bounds, bounds[1:], tokens):
+        docs = cut.where((F.col("size") > a) & (F.col("size") <= b)).withColumn("kind", F.lit(LEFT))
+        while left:
+            # A gap lies within one stretch every second round at least, so the rounds end.
+            shift = turn % 2 * STRETCH * capacity // 2
+            use = [g.where(F.col("size") > a) for g in gaps]
+            for g in use[1:]:
+                use[0] = use[0].unionByName(g)
+            first, second = _round(docs, use[0], capacity, shift)
+            placed += [x.where(F.col("kind") == PLACED) for x in (first, second)]
+            gaps = [g.where(F.col("size") <= a) for g in gaps] + [second.where(F.col("kind") == GAP).select("kind", "size", "key")]
+            docs = second.where(F.col("kind") == LEFT).select("kind", "size", "key", "doc_id", "piece", "start", "ids_crc32")
+            left = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            if left:
+                new = -(-left // capacity)
+                fresh = cut.sparkSession.range(opened, opened + new)
+                gaps.append(fresh.select(gap, F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key")))
+                opened += new
+            turn += 1
+    cols = ["doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "sequence_id", "offset"]
+    out = placed[0].select(cols)
+    for x in placed[1:]:
+        out = out.unionByName(x.select(cols))
+    return out

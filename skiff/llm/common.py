@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,16 +10,23 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
 
 
+#: Bytes of an Arrow batch. Spark's own bound counts rows, and some hold long texts.
+BATCH_BYTES, _BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where a local session leaves it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that the executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN_DIR[0]
@@ -40,6 +48,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_BYTES``, which this sets in the session where nothing else is set."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 
@@ -48,7 +64,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
             if batch.num_rows:
                 yield from rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def fold(doc_id: Column) -> Column:
@@ -81,37 +97,20 @@ def rank_in_class(df: DataFrame, classes: list[str], order: list[str], rank: str
     """Add ``rank``: the 0-based place of each row among the rows with equal ``classes``.
 
     Rows are dealt by range over (classes, order), so a class of any size spreads over many
-    tasks. Each task numbers the rows of its range; the counts of (task, class) place the ranges.
+    tasks. Rows are numbered within their range; the counts of (task, class) place the ranges.
     The numbered rows are written once, so that the numbers cannot change later.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*classes, *order]
-    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    schema = StructType([*dealt.schema.fields, StructField("_local", LongType())])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n = None, 0
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in classes]
-            out = []
-            for key in zip(*cols):
-                n = n + 1 if key == last else 0
-                last = key
-                out.append(n)
-            yield batch.append_column("_local", pa.array(out, pa.int64()))
-
-    local = dealt.mapInArrow(number, schema)
-    local = materialize(local, "ranked")
-    counts = local.groupBy("_part", *classes).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    local = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = local.groupBy(part.alias("_p"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(classes)]).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     # One row for each pair of a task and a class that meets it: at most tasks + classes rows,
     # as the ranges are contiguous; partitioned by class.
-    before = Window.partitionBy(*classes).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("_part").alias("_p"),
-        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(classes)],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-    )
-    cond = F.col("_part") == F.col("_p")
+    before = Window.partitionBy(*[f"_c{i}" for i in range(len(classes))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    cond = part == F.col("_p")
     for i, c in enumerate(classes):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_c{i}"))
-    return local.join(F.broadcast(starts), cond).select(*df.columns, (F.col("_local") + F.col("_start")).alias(rank))
+    return local.join(F.broadcast(starts), cond).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_start")).alias(rank))
