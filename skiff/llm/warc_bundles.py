@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import arrow_map, materialize, new_path
+from skiff.llm.common import map_batches, materialize, new_path
 
 #: Plain bytes of a frame and compressed bytes of a bundle, from which the next one starts.
 FRAME, BUNDLE = 1 << 20, 64 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, bundle string, frame int, begin long, size int, at int, length int"
+INDEX = "page_id long, bundle string, frame int, at int, length int"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -76,6 +76,15 @@ def read_seek_table(tail: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def file_tail(file) -> bytes:
+    """The footer of an open bundle: its last 9 bytes tell how many frames the table has."""
+    end = file.size()
+    file.seek(end - 9)
+    size = 9 + 8 * struct.unpack("<IBI", file.read(9))[0]
+    file.seek(end - size)
+    return file.read(size)
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -89,7 +98,7 @@ def write_bundles(records: DataFrame, folder: str) -> DataFrame:
         import zstandard
 
         names = [x.split()[0] for x in INDEX.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         packer = zstandard.ZstdCompressor(level=3)
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
@@ -106,7 +115,7 @@ def write_bundles(records: DataFrame, folder: str) -> DataFrame:
                 out, frames, at = system.open_output_stream(path, compression=None), [], 0
             packed = packer.compress(bytes(plain))
             out.write(packed)
-            rows.extend((page, name, len(frames), at, len(packed), x, n) for page, x, n in held)
+            rows.extend((page, name, len(frames), x, n) for page, x, n in held)
             frames.append((len(packed), len(plain)))
             at += len(packed)
             plain, held = bytearray(), []
@@ -138,11 +147,13 @@ def write_bundles(records: DataFrame, folder: str) -> DataFrame:
         close()
         yield batch_of()
 
-    return materialize(records.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return materialize(map_batches(records.select("page_id", "url", "html", "digest", "refers_to"), run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records of an index back, frame by frame, by seeking: every field comes from the archive.
+    """Read the records of an index back, frame by frame: every field comes from the archive.
+
+    Frames are sought by the seek table in the footer of their bundle, which is read once on opening it.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to and payload.
     """
@@ -157,7 +168,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         unpacker, (system, base) = zstandard.ZstdDecompressor(), _open(folder)
-        last, plain, file, opened = None, b"", None, None
+        last, plain, file, opened, frames = None, b"", None, None, []
         rows, weight = [], 0
 
         def batch_of() -> pa.RecordBatch:
@@ -166,12 +177,14 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         for batch in batches:
-            for _, bundle, frame, begin, size, at, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, bundle, frame, at, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bundle, frame) != last:
                     if bundle != opened:
                         if file is not None:
                             file.close()
                         file, opened = system.open_input_file(f"{base}/{bundle}"), bundle
+                        frames = read_seek_table(file_tail(file))
+                    begin, size, _ = frames[frame]
                     file.seek(begin)
                     plain, last = unpacker.decompress(file.read(size)), (bundle, frame)
                 fields, block = parse(plain[at : at + length])
@@ -190,7 +203,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             file.close()
         yield batch_of()
 
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def archive_pages(pages: DataFrame, least: int = 100) -> tuple[DataFrame, str]:
