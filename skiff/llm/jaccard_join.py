@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import arrow_map, materialize
+from skiff.llm.common import arrow_map, map_batches, materialize
 from skiff.llm.textkit import Words, shingles, slices, utf8
 
 #: Counters of the word frequency sketch, and the parts in which tasks hand it on.
@@ -58,7 +58,7 @@ def word_frequency(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema)
+    summed = map_batches(map_batches(docs.select("text"), count, schema).repartition(PARTS, "part"), add, schema)
     out = np.zeros(BUCKETS, np.int64)
     for row in summed.collect():  # PARTS rows of fixed size
         out[row.part * size : (row.part + 1) * size] = np.frombuffer(row.counts, np.int64)

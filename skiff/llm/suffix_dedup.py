@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from skiff.llm.common import arrow_map, materialize
+from skiff.llm.common import arrow_map, map_batches, materialize
 from skiff.llm.suffix_sort import repeats
 from skiff.llm.textkit import _BYTE, U, mix, powers, utf8
 
@@ -229,7 +229,7 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
             emit(group, blocks, out)
         yield batch_of(out)
 
-    return contexts.mapInArrow(run, SORTED)
+    return map_batches(contexts, run, SORTED)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
