@@ -134,11 +134,11 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tupl
     return fit(rows[list(stat)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
 
 
-def with_quality(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the score of ``text``."""
-    stat = features()
-    stats = with_stats(docs, *keep).select(*keep, *[c.alias(n) for n, c in stat.items()])
-    return stats.select(*keep, compiled(*model, [F.col(n) for n in stat]).alias("score"))
+def with_quality(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], *keep: str, text: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs``, with ``text`` also the text as ``_text``, and its score."""
+    stat, names = features(), [*keep, *["_text"] * text]
+    stats = with_stats(docs, *keep, text=text).select(*names, *[c.alias(n) for n, c in stat.items()])
+    return stats.select(*names, compiled(*model, [F.col(n) for n in stat]).alias("score"))
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 8000, threshold: float = 0.3) -> DataFrame:

@@ -107,8 +107,9 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the counts of ``text``; a null text counts as empty."""
+def with_stats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs``, with ``text`` also the text as ``_text``, and its counts; a null text counts as empty."""
+    names = [*keep, *["_text"] * text]
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(len(keep)))
@@ -117,7 +118,7 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
             at = offsets[i : j + 1]
             found.append(stats(data[at[0] : at[-1]], at - at[0]))
         cols = [pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in COUNTS]
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, *COUNTS])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], [*names, *COUNTS])
 
     some = docs.select(*keep, F.col("text").alias("_text"))
-    return arrow_map(some, rows, StructType([*some.schema.fields[:-1], *(StructField(c, LongType()) for c in COUNTS)]))
+    return arrow_map(some, rows, StructType([*some.schema.fields[: len(names)], *(StructField(c, LongType()) for c in COUNTS)]))

@@ -167,9 +167,10 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> tupl
     return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
 
 
-def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the score of ``text``."""
+def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, text: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs``, with ``text`` also the text as ``_text``, and its score."""
     scores, bias = model
+    names = [*keep, *["_text"] * text]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(len(keep)))
@@ -177,10 +178,10 @@ def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str)
         for i, j in slices(offsets):
             at = offsets[i : j + 1]
             out.append(predict(data[at[0] : at[-1]], at - at[0], scores, bias))
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out), pa.float64())], [*keep, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(out), pa.float64())], [*names, "score"])
 
     some = docs.select(*keep, F.col("text").alias("_text"))
-    return arrow_map(some, run, StructType([*some.schema.fields[:-1], StructField("score", DoubleType())]))
+    return arrow_map(some, run, StructType([*some.schema.fields[: len(names)], StructField("score", DoubleType())]))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:

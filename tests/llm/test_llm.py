@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small texts, exact round trips, and held-out accuracy."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -20,6 +21,7 @@ from skiff.llm.common import training_rows
 from skiff.llm.queries import tokenizer
 from skiff.llm.textkit import Words, utf8
 
+DATA = "/root/testdata/sf0.01"
 EDGE = [(None, None), (None, "a b c d e f"), (1, ""), (1, " \n\t"), (2, "one"), (2, "one"), (3, "ONE"), (4, "é" * 50), (5, "x " * 400), (6, "x " * 400)]
 
 
@@ -100,6 +102,7 @@ def test_empty_tables(spark):
     assert jaccard_join.jaccard_components(none).count() == 0
     assert suffix_dedup.suffix_dedup(none).count() == 0
     assert best_fit_packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
+    assert segment_bpe.encode_documents(none, tokenizer("word_bpe_49k.json")).count() == 0
     assert label_sharding.shard_documents(none).count() == 0
     assert quality_rules.judge_quality(none).count() == 0
     assert toxicity.score_toxicity(none, labels).count() == 0
@@ -185,18 +188,41 @@ def test_packing(spark):
         assert at <= cap
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 20), min_size=1))
-def test_best_fit_places_all(counts):
-    plan = best_fit_packing.best_fit(counts, 30)
-    used, placed = collections.Counter(), collections.Counter()
-    for length, rank, n, first, offset in sorted(plan, key=lambda p: p[4]):
-        placed[length] += n
-        for s in range(first, first + n):
-            assert used[s] == offset
-            used[s] += length
-    assert placed == collections.Counter(counts) and max(used.values()) <= 30
-    assert len(used) <= 2 * -(-sum(k * v for k, v in counts.items()) // 30)
+def plain_best_fit(lengths, cap):
+    """The number of sequences of best-fit decreasing, one piece after the other."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(k) if k < len(gaps) else cap
+        n += gap == cap
+        if gap > x:
+            bisect.insort(gaps, gap - x)
+    return n
+
+
+def test_packing_is_near_plain_best_fit(spark):
+    path = tokenizer("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = best_fit_packing.pack(docs, path).toPandas()
+    plain = plain_best_fit(got["length"], 1024)
+    assert got["sequence_id"].nunique() <= plain * 1.001 + 1
+    assert (got.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(1, 40)), max_size=60))
+def test_a_gap_goes_to_its_successor(steps):
+    gaps, known = best_fit_packing.Gaps(), []
+    for n, (put, size) in enumerate(steps):
+        if put:
+            gaps.put(size, n)
+            known.append(size)
+        else:
+            fit = min((g for g in known if g >= size), default=None)
+            hit = gaps.take(size)
+            assert (hit and hit[0]) == fit
+            if fit:
+                known.remove(fit)
 
 
 # --- 3: WARC
@@ -228,8 +254,9 @@ def test_bundles_can_be_sought(spark):
     for r in index.where("page_id % 7 = 0").collect():
         raw = system.open_input_file(f"{base}/{r.bundle}").read()
         frames = warc_bundles.read_seek_table(raw)
-        assert frames[r.frame][:2] == (r.begin, r.size)
-        plain = zstandard.ZstdDecompressor().decompress(raw[r.begin : r.begin + r.size])
+        begin, size, full = frames[r.frame]
+        plain = zstandard.ZstdDecompressor().decompress(raw[begin : begin + size])
+        assert len(plain) == full
         fields, block = warc_bundles.parse(plain[r.at : r.at + r.length])
         assert fields["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and block.endswith(b"p" * r.page_id)
 
@@ -278,8 +305,6 @@ def test_posterior_separates_junk(spark):
 
 # --- 1 and 5: classifiers, on the given tables
 
-DATA = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="module")
 def tables(spark):
