@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,8 +14,11 @@ _OWN: list[str] = []
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or an own one where a local session leaves it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that the executors of {master} share")
     if not named and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{(named or _OWN[0]).rstrip('/')}/{what}-{uuid.uuid4().hex}"
