@@ -29,7 +29,7 @@ from skiff.llm.textkit import _BYTE, U, mix, powers, utf8
 
 GRAM = 32
 #: Bytes of text whose anchors are found together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Contexts of one anchor hash that one task sorts together.
 BLOCK = 4096
 _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
