@@ -1,12 +1,14 @@
 """Sharding by balanced label propagation, under the law that shard sizes in rows differ by one at most.
 
-Documents with equal texts are linked, through one hub for each text. A document starts in the
-shard that its place in the order of hubs (digests of the texts) gives, so all shards are full and few
-groups are cut. Each round joins documents with
-their hub's counts, finds the shard where most of the linked documents are, and wishes to
+Documents with equal texts are linked, through one hub for each text. A document starts in the shard that the
+hash of its id gives, by rank, so all shards are full and the start knows nothing of the texts. Each round joins
+documents with their hub's counts, finds the shard where most of the linked documents are, and wishes to
 move there. For each pair of shards as many documents move one way as the other, so quotas
 hold after every move: wishes with the largest gain go first, and documents without links, which
 lose nothing, fill the way back. Rounds end when no wish can be met.
+
+A move goes to a shard with at least as many documents of the hub as the one it leaves, so the sum of the squares
+of these counts grows in every round, and the rounds end.
 """
 
 from __future__ import annotations
@@ -17,24 +19,22 @@ from pyspark.sql import functions as F
 from skiff.llm.common import materialize, rank_in_class
 
 
-def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
-    """Put all documents into shards 0 to ``shards`` - 1, equal texts together where quotas allow.
+def propagate(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, list[dict[str, int]]]:
+    """(placed documents, rounds): key, doc_id, size, text_crc32, hub and shard; what each round found and did.
 
-    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('rows': counts differ by one at most),
-    shard, slot (gapless from 0 in each shard) and grown_shard (null under this law), a row for each
-    row of ``documents``. A null text counts as empty; null texts and empty ones are equal texts.
-    Repeated rows are documents of their own; null ids are allowed; other columns are ignored. A
-    group larger than a shard spreads over several, since quotas come first.
+    A round counts ``cut`` (linked documents that are not in the shard of most of their hub's, before it) and
+    ``moved`` (documents that changed their shard in it, those that fill the way back included). The last
+    round moves nothing.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = documents.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("hub")
     )
-    # Equal documents are told apart by their number, from one range sort; hot texts spread by it.
-    rows = rows.withColumn("_mix", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("_all", F.lit(0))
-    rows = rank_in_class(rows, ["_all"], ["hub", "_mix", "doc_id"], "key").drop("_all", "_mix")
+    # Equal documents are told apart by their number, from one range sort.
+    rows = rows.withColumn("_mix", F.xxhash64("doc_id")).withColumn("_all", F.lit(0))
+    rows = rank_in_class(rows, ["_all"], ["_mix", "doc_id", "text_crc32", "size"], "key").drop("_all", "_mix")
     total = rows.count()
-    # Contiguous eighths of the order: counts differ by one at most from the start.
+    # Contiguous stretches of the order of hashes: counts differ by one at most from the start.
     small, extra = divmod(total, shards)
     shard = F.when(F.col("key") < extra * (small + 1), F.floor(F.col("key") / (small + 1))).otherwise(
         F.lit(extra) + F.floor((F.col("key") - extra * (small + 1)) / max(1, small))
@@ -42,57 +42,69 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6) -> D
     state = materialize(rows.withColumn("shard", shard.cast("int")), "shards")
     linked = materialize(state.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"), "hubs")
     members = materialize(state.join(linked, "hub", "left_semi").select("key", "hub", "shard"), "members")
-    single = materialize(state.join(linked, "hub", "left_anti").select("key", "shard"), "singles")
-    for _ in range(rounds):
-        moved = _round(members, single)
-        if moved is None:
+    single = rank_in_class(state.join(linked, "hub", "left_anti").select("key", "shard"), ["shard"], ["key"], "place")
+    free = {r["shard"]: r["n"] for r in single.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
+    used, bands, history = dict.fromkeys(range(shards), 0), [], []
+    while True:
+        members, back, done = _round(members, {s: free.get(s, 0) - used[s] for s in used})
+        history.append(done)
+        if not done["moved"]:
             break
-        members, single = moved
+        # Documents without links go back in order of their place, each once; a few stretches for each round.
+        for (f, t), n in sorted(back.items()):
+            bands.append((f, t, used[f], used[f] + n))
+            used[f] += n
+    if bands:
+        low = state.sparkSession.createDataFrame(bands, "home int, `to` int, low long, high long")
+        hit = (F.col("shard") == F.col("home")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+        single = single.join(F.broadcast(low), hit, "left").select("key", F.coalesce("to", "shard").alias("shard"))
     placed = members.select("key", "shard").union(single.select("key", "shard"))
-    out = state.drop("shard", "hub").join(placed, "key")
-    out = rank_in_class(out, ["shard"], ["key"], "slot")
+    return state.drop("shard").join(placed, "key"), history
+
+
+def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
+    """Put all documents into shards 0 to ``shards`` - 1, equal texts together where quotas allow.
+
+    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('rows': counts differ by one at most),
+    shard, slot (gapless from 0 in each shard) and grown_shard (null under this law), a row for each
+    row of ``documents``. A null text counts as empty; null texts and empty ones are equal texts.
+    Repeated rows are documents of their own; null ids are allowed; other columns are ignored. A
+    group larger than a shard spreads over several, since quotas come first; where shards tie for the most of a
+    group, the smallest is wished for. An empty table gives an empty one.
+    """
+    placed, _ = propagate(documents, shards)
+    out = rank_in_class(placed.drop("hub"), ["shard"], ["key"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _round(members: DataFrame, single: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """One exchange of documents between shards; None when no wish can be met."""
+def _round(members: DataFrame, free: dict[int, int]) -> tuple[DataFrame, dict[tuple[int, int], int], dict[str, int]]:
+    """(members after it, documents without links that have to move (from, to), counts) of one exchange between shards."""
     votes = members.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("hub").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("top")).select("hub", F.col("top.c").alias("most"), (-F.col("top.s")).alias("to"))
     wish = votes.join(best, "hub").where(F.col("shard") != F.col("to")).select("hub", "shard", "to", (F.col("c") - F.col("most")).alias("loss"))
-    wanted = materialize(members.join(wish, ["hub", "shard"]).select("key", F.col("shard").alias("from"), "to", "loss"), "wishes")
-    # At most shards * shards rows each, whatever the corpus.
-    flow = {(r["from"], r["to"]): r["n"] for r in wanted.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
-    free = {r["shard"]: r["n"] for r in single.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not flow:
-        return None
-    allow, back = _quotas(flow, free)
-    if not any(allow.values()):
-        return None
-    spark = members.sparkSession
-    limits = spark.createDataFrame([(f, t, n) for (f, t), n in allow.items()], "`from` int, `to` int, allowed long")
+    # Written before the join, so that Spark can split a hot hub in it.
+    wish = materialize(wish, "wishes")
+    wanted = members.join(wish, ["hub", "shard"]).select("key", F.col("shard").alias("from"), "to", "loss")
     ranked = rank_in_class(wanted, ["from", "to"], ["loss", "key"], "place")
+    # At most shards * shards rows, whatever the corpus.
+    flow = {(r["from"], r["to"]): r["n"] for r in ranked.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
+    allow, back = _quotas(flow, free)
+    done = {"cut": sum(flow.values()), "moved": sum(allow.values()) + sum(back.values())}
+    if not done["moved"]:
+        return members, back, done
+    limits = members.sparkSession.createDataFrame([(f, t, n) for (f, t), n in allow.items()], "`from` int, `to` int, allowed long")
     going = ranked.join(F.broadcast(limits), ["from", "to"]).where("place < allowed").select("key", "to")
-    members = materialize(members.join(going, "key", "left").select("key", "hub", F.coalesce("to", "shard").alias("shard")), "members")
-    if any(back.values()):
-        # Singles of a shard go back in order of rank: the first n1 to one shard, the next n2 to another.
-        spans, at = [], {}
-        for (f, t), n in sorted(back.items()):
-            spans.append((f, t, at.get(f, 0), at.get(f, 0) + n))
-            at[f] = at.get(f, 0) + n
-        bands = spark.createDataFrame(spans, "shard int, `to` int, low long, high long")
-        placed = rank_in_class(single, ["shard"], ["key"], "place")
-        hit = (placed["shard"] == bands["shard"]) & (placed["place"] >= bands["low"]) & (placed["place"] < bands["high"])
-        single = materialize(placed.join(F.broadcast(bands), hit, "left").select("key", F.coalesce("to", placed["shard"]).alias("shard")), "singles")
-    return members, single
+    moved = members.join(going, "key", "left").select("key", "hub", F.coalesce("to", "shard").alias("shard"))
+    return materialize(moved, "members"), back, done
 
 
 def _quotas(flow: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict, dict]:
-    """(moves allowed for each wish (from, to), singles that move (from, to)) such that no count changes."""
-    allow, back = {k: 0 for k in flow}, {}
+    """(moves allowed for each wish (from, to), documents without links that move (from, to)) such that no count changes."""
+    allow, back = {}, {}
     left = dict(free)
-    for (i, j), n in sorted(flow.items(), key=lambda x: -x[1]):
+    for (i, j), n in sorted(flow.items(), key=lambda x: (-x[1], x[0])):
         swap = min(n, flow.get((j, i), 0))  # wishes both ways
-        fill = min(n - swap, left.get(j, 0))  # singles of j make room
+        fill = min(n - swap, left.get(j, 0))  # documents of j without links make room
         allow[i, j] = swap + fill
         if fill:
             left[j] -= fill
