@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -26,6 +26,12 @@ NONE = np.iinfo(np.int64).max
 REMEMBER = 700_000
 #: White space of the tokenizer's patterns.
 WHITE = r"\t-\r \x85\xa0  -     　"
+#: Characters whose case folding and class Python and the tokenizers library see alike, which no normal form
+#: changes or joins, and of which none depends on those beside it. Whatever holds others is normalised and cut by the library.
+_OTHER = re.compile(
+    "[^\0-\u02af\u0370-\u0373\u0375-\u037d\u037f-\u0386\u0388-\u03a2\u03a4-\u0482\u048a-\u052f\u05d0-\u05ea\u0620-\u064a\u1e00-\u1eff"
+    "\u2010-\u2027\u2030-\u205e\u20a0-\u20cf\u2100-\u2328\u232b-\u25ff\u3001-\u3029\u3030-\u3098\u309b-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff9f]"
+)
 _CODECS: dict[str, "Codec"] = {}
 
 
@@ -52,7 +58,11 @@ class _Behind(dict):
 class Codec:
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut_other = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -201,6 +211,9 @@ class Codec:
         find, known = self.split.findall, self.chunks
         out, split = {}, {}
         for c in chunks:
+            if not c.isascii() and _OTHER.search(c):
+                split[c] = [c[a:z] for _, (a, z) in self.cut_other(c)]
+                continue
             # After a letter a single mark is a word of its own, so the rest may be known.
             rest = known.get(c[:-1]) if c[-1] in ",.!?;:" and c[-2:-1].isalpha() else None
             if rest is None:
@@ -253,13 +266,10 @@ class Codec:
             at = m.end()
         return [*out, self._cut(text[at:])]
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         """Normalise (NFC, lower case letter by letter) and cut at spaces, which no word holds."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return text.replace("\n", " ").split(" ")
+        other = not text.isascii() and _OTHER.search(text)
+        return (self.normalize(text) if other else text.lower().replace("\n", " ")).split(" ")
 
 
 def codec(path: str) -> Codec:
