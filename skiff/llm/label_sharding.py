@@ -5,7 +5,8 @@ hash of its id gives, by rank, so all shards are full and the start knows nothin
 documents with their hub's counts, finds the shard where most of the linked documents are, and wishes to
 move there. For each pair of shards as many documents move one way as the other, so quotas
 hold after every move: wishes with the largest gain go first, and documents without links, which
-lose nothing, fill the way back. Rounds end when no wish can be met.
+lose nothing, fill the way back. Rounds end when no wish can be met. Groups that no shard can hold come last:
+their documents fill the way back of the others first, and then gather themselves.
 
 A move goes to a shard with at least as many documents of the hub as the one it leaves, so the sum of the squares
 of these counts grows in every round, and the rounds end.
@@ -24,7 +25,7 @@ def propagate(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, list[di
 
     A round counts ``cut`` (linked documents that are not in the shard of most of their hub's, before it) and
     ``moved`` (documents that changed their shard in it, those that fill the way back included). The last
-    round moves nothing.
+    round moves nothing. Where there are groups that no shard can hold, their rounds follow.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = documents.select(
@@ -40,9 +41,23 @@ def propagate(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, list[di
         F.lit(extra) + F.floor((F.col("key") - extra * (small + 1)) / max(1, small))
     )
     state = materialize(rows.withColumn("shard", shard.cast("int")), "shards")
-    linked = materialize(state.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"), "hubs")
-    members = materialize(state.join(linked, "hub", "left_semi").select("key", "hub", "shard"), "members")
-    single = rank_in_class(state.join(linked, "hub", "left_anti").select("key", "shard"), ["shard"], ["key"], "place")
+    linked = materialize(state.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    large = materialize(linked.where(F.col("n") > small).select("hub"), "large")  # a few times ``shards`` at most
+    members = materialize(state.join(linked.where(F.col("n") <= small), "hub", "left_semi").select("key", "hub", "shard"), "members")
+    others = state.join(linked.where(F.col("n") <= small), "hub", "left_anti").select("key", "hub", "shard")
+    members, others, history = settle(members, others, shards)
+    if not large.isEmpty():
+        others = materialize(others, "others")
+        giants = materialize(others.join(F.broadcast(large), "hub", "left_semi"), "giants")
+        giants, others, more = settle(giants, others.join(F.broadcast(large), "hub", "left_anti"), shards)
+        members, history = members.union(giants), history + more
+    placed = members.union(others).select("key", "shard")
+    return state.drop("shard").join(placed, "key"), history
+
+
+def settle(members: DataFrame, others: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, list[dict[str, int]]]:
+    """Rounds until no wish of ``members`` can be met, ``others`` filling the way back; both are (key, hub, shard)."""
+    single = rank_in_class(others.select("key", "hub", "shard"), ["shard"], ["key"], "place")
     free = {r["shard"]: r["n"] for r in single.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
     used, bands, history = dict.fromkeys(range(shards), 0), [], []
     while True:
@@ -55,11 +70,10 @@ def propagate(documents: DataFrame, shards: int = 8) -> tuple[DataFrame, list[di
             bands.append((f, t, used[f], used[f] + n))
             used[f] += n
     if bands:
-        low = state.sparkSession.createDataFrame(bands, "home int, `to` int, low long, high long")
+        low = members.sparkSession.createDataFrame(bands, "home int, `to` int, low long, high long")
         hit = (F.col("shard") == F.col("home")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
-        single = single.join(F.broadcast(low), hit, "left").select("key", F.coalesce("to", "shard").alias("shard"))
-    placed = members.select("key", "shard").union(single.select("key", "shard"))
-    return state.drop("shard").join(placed, "key"), history
+        single = single.join(F.broadcast(low), hit, "left").withColumn("shard", F.coalesce("to", "shard"))
+    return members, single.select("key", "hub", "shard"), history
 
 
 def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
@@ -70,7 +84,7 @@ def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
     row of ``documents``. A null text counts as empty; null texts and empty ones are equal texts.
     Repeated rows are documents of their own; null ids are allowed; other columns are ignored. A
     group larger than a shard spreads over several, since quotas come first; where shards tie for the most of a
-    group, the smallest is wished for. An empty table gives an empty one.
+    group, a hash of the group and the shard decides, so that wishes spread. An empty table gives an empty one.
     """
     placed, _ = propagate(documents, shards)
     out = rank_in_class(placed.drop("hub"), ["shard"], ["key"], "slot")
@@ -80,7 +94,7 @@ def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
 def _round(members: DataFrame, free: dict[int, int]) -> tuple[DataFrame, dict[tuple[int, int], int], dict[str, int]]:
     """(members after it, documents without links that have to move (from, to), counts) of one exchange between shards."""
     votes = members.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy("hub").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("top")).select("hub", F.col("top.c").alias("most"), (-F.col("top.s")).alias("to"))
+    best = votes.groupBy("hub").agg(F.max(F.struct("c", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("top")).select("hub", F.col("top.c").alias("most"), F.col("top.shard").alias("to"))
     wish = votes.join(best, "hub").where(F.col("shard") != F.col("to")).select("hub", "shard", "to", (F.col("c") - F.col("most")).alias("loss"))
     # Written before the join, so that Spark can split a hot hub in it.
     wish = materialize(wish, "wishes")
