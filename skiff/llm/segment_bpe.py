@@ -202,28 +202,28 @@ class Codec:
                     out[i] = ids
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        """The words of a normalised chunk."""
+        if not chunk.isascii() and _OTHER.search(chunk):
+            return [chunk[a:z] for _, (a, z) in self.cut_other(chunk)]
+        return [chunk] if chunk.isalpha() else self.split.findall(chunk)
+
     def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
         """(ids, decoded text) of the chunks that are not remembered; a chunk has no plain space or special token.
 
         Memory holds the first REMEMBER chunks that a worker meets, mostly frequent ones.
         """
         chunks.difference_update(self.chunks)
-        find, known = self.split.findall, self.chunks
+        known = self.chunks
         out, split = {}, {}
         for c in chunks:
-            if not c.isascii() and _OTHER.search(c):
-                split[c] = [c[a:z] for _, (a, z) in self.cut_other(c)]
-                continue
             # After a letter a single mark is a word of its own, so the rest may be known.
-            rest = known.get(c[:-1]) if c[-1] in ",.!?;:" and c[-2:-1].isalpha() else None
-            if rest is None:
-                split[c] = [c] if c.isalpha() else find(c)
+            rest = known.get(c[:-1]) if c[-1] in ",.!?;:" and c[-2:-1].isalpha() and (c.isascii() or not _OTHER.search(c)) else None
+            mark = rest and known.get(c[-1])
+            if mark:
+                out[c] = rest[0] + mark[0], f"{rest[1]} {mark[1]}"
             else:
-                mark = known.get(c[-1])
-                if mark is None:
-                    split[c] = find(c)
-                else:
-                    out[c] = rest[0] + mark[0], f"{rest[1]} {mark[1]}"
+                split[c] = self.words(c)
         new = list(set().union(*split.values()))
         fresh = dict(zip(new, self.merge([w.encode() for w in new])))
         show = self.text_of.__getitem__
