@@ -161,6 +161,26 @@ def test_segment_tree_equals_library(spark):
         assert got[d].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[d].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_every_character_is_cut_as_the_library_does():
+    codec = segment_bpe.codec(tokenizer("word_bpe_49k.json"))
+    for x in [*range(0xD800), *range(0xE000, 0x110000)]:
+        text = f"a{chr(x)}b"
+        plain = codec.normalize(text)
+        assert [w for c in codec._cut(text) if c for w in codec.words(c)] == [plain[a:z] for _, (a, z) in codec.cut_other(plain)], hex(x)
+
+
+def test_segment_tree_on_texts_of_all_planes():
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer("word_bpe_49k.json"), random.Random(11)
+    lib, codec = Tokenizer.from_file(path), segment_bpe.codec(path)
+    rare = [chr(x) for x in [*range(0x300, 0x370), *range(0x500, 0x600), *range(0x1C80, 0x1C90), *range(0x1100, 0x1200), *range(0xF900, 0xFA00)]] + [chr(r.randrange(0x10000, 0x110000)) for _ in range(500)]
+    texts = ["".join(r.choice(rare) if r.random() < 0.4 else r.choice("aÉA's .\n,Σtre가") for _ in range(r.randint(1, 30))) for _ in range(4000)]
+    for text, (ids, shown) in zip(texts, codec.encode_all(texts)):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and shown == lib.decode(want, skip_special_tokens=False), ascii(text)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -343,30 +363,47 @@ def test_labels_of_the_held_out_fold_change_nothing(tables):
 # --- 9: nearest neighbours
 
 
-def test_recall(spark):
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    rows = e.toPandas()
-    x, ids = np.stack(rows["embedding"].to_list()).astype(float), rows["vec_id"].to_numpy()
+def recall_and_share(spark, x, ids, df, **more):
+    """Mean recall of the 10 nearest, and the mean share of the vectors that a query verifies."""
+    found, verified = projection_index.search_index(df, **more)
     got = collections.defaultdict(set)
-    for r in projection_index.nearest(e, block=100, queries_at_once=2).collect():
+    for r in found.collect():
         got[r.query_id].add(r.vec_id)
-    hits = 0
-    for q in ids[ids % 100 == 0]:
+    hits, asked = 0, ids[ids % 100 == 0]
+    for q in asked:
         order = np.lexsort((ids, ((x - x[ids == q]) ** 2).sum(1)))
         hits += len(got[q] & set([i for i in ids[order] if i != q][:10]))
-    assert hits / (10 * (ids % 100 == 0).sum()) >= 0.9
+    return hits / (10 * len(asked)), np.mean([r.verified for r in verified.collect()]) / len(ids)
+
+
+def test_recall_without_structure(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.toPandas()
+    recall, share = recall_and_share(spark, np.stack(rows["embedding"].to_list()).astype(float), rows["vec_id"].to_numpy(), df)
+    assert recall >= 0.9 and share < 0.8
+
+
+def test_recall_and_pruning_with_structure(spark, monkeypatch):
+    monkeypatch.setattr(projection_index, "PART", 150)  # cells in parts, and copies of them
+    monkeypatch.setattr(projection_index, "SERVED", 4)
+    rng = np.random.default_rng(5)
+    x = 4 * rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 32))
+    x[:400] = x[0]  # a hot cell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    recall, share = recall_and_share(spark, x, np.arange(3000), df)
+    assert recall >= 0.9 and share < 0.2
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [2.0, 0.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (100, [5.0, 0.0]), (200, [])]
-    got = sorted(tuple(r) for r in projection_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    got = sorted(tuple(r) for r in projection_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), confidence=1 - 1e-12).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 9, 0.0), (0, 3, 7, 1.0), (0, 4, 100, 4.0), (100, 1, 7, 3.0), (100, 2, 0, 4.0), (100, 3, 1, 4.0), (100, 4, 9, 4.0)]
 
 
 def test_repeated_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), *((i, [float(i), 0.5]) for i in range(5, 25))]
-    got = collections.Counter(tuple(r) for r in projection_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    got = collections.Counter(tuple(r) for r in projection_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), confidence=1 - 1e-12).collect())
     want = []
     for n, (q, v) in enumerate(rows):
         if q % 100 == 0:
@@ -393,6 +430,21 @@ def test_sharding(spark):
     assert cut == 0 and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
 
 
+def test_propagation_gathers_equal_texts(spark):
+    rows = [(i, f"x{i % 40}") for i in range(160)] + [(i, f"own {i}") for i in range(200, 300)]
+    placed, history = label_sharding.propagate(documents(spark, rows))
+    got = placed.collect()
+    hubs, count = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in got:
+        hubs[bytes(r.hub)][r.shard] += 1
+        count[r.shard] += 1
+    # The start, by hash of the id, knows nothing of the texts: most links are cut before the first round.
+    assert history[0]["cut"] > 80 and history[0]["moved"] > 80 and history[-1]["moved"] == 0
+    assert all(a["cut"] >= b["cut"] for a, b in zip(history, history[1:]))
+    assert sum(sum(c.values()) - max(c.values()) for c in hubs.values()) == history[-1]["cut"] <= 4
+    assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1
+
+
 def test_training_rows_are_bounded_and_filled(spark):
     docs = documents(spark, [(7, f"copy {i}") for i in range(60)] + [(i, f"text {i}") for i in range(100, 140)] + [(141, None)])
     labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 1000)], "doc_id long, toxic int")
