@@ -4,6 +4,10 @@ Every rule votes for good (1), for bad (-1) or abstains (0) on the statistics of
 Expectation-maximisation over the counts of vote patterns, of which there are a fixed number at
 most, estimates how often each rule is right when it votes, without labels; the posterior
 probability of good replaces the test that a text pass every rule.
+
+Two assumptions go beyond independent rules. "symbols" and "marks" read one count at two bounds, so a text far beyond
+counts double, on purpose: as one rule of three votes it is a small cluster of its own that EM takes for good ones.
+And a vote never speaks for the class that it votes against (``estimate`` holds the signs of weights).
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ def estimate(votes: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[f
         log_good, log_bad = np.log(a / a.sum(1, keepdims=True)), np.log(b / b.sum(1, keepdims=True))
         prior = np.log((good.sum() + 1) / (bad.sum() + 1))
     weight = log_good - log_bad
-    # A vote of bad never speaks for good, nor one of good for bad.
+    # An assumption, not a result: a vote of bad never speaks for good, nor one of good for bad.
     weight[:, 0], weight[:, 2] = np.minimum(weight[:, 0], 0), np.maximum(weight[:, 2], 0)
     return float(prior), weight
 
