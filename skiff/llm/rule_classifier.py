@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skiff.llm.common import fold, training_rows
+from skiff.llm.common import fold, give_back, training_rows
 from skiff.llm.text_stats import COUNTS, with_stats
 
 
@@ -131,7 +131,9 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tupl
     stat = features()
     train = with_stats(training_rows(documents, labels, "quality", max_rows), "_id", "y")
     rows = train.select("_id", "y", *[c.alias(n) for n, c in stat.items()]).orderBy("_id").toPandas()
-    return fit(rows[list(stat)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
+    model = fit(rows[list(stat)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
+    give_back()
+    return model
 
 
 def with_quality(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], *keep: str, text: bool = False) -> DataFrame:

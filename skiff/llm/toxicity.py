@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from skiff.llm.common import arrow_map, fold, training_rows
+from skiff.llm.common import arrow_map, fold, give_back, training_rows
 from skiff.llm.textkit import _BYTE, _LOWER, _PLACE, Words, mix, slices, utf8
 
 BUCKETS, GRAMS = 1 << 18, (3, 4, 5, 6)
@@ -68,7 +68,7 @@ def _bags(texts: list[str]) -> Bags:
     data, offsets = utf8(pa.array(texts, pa.string()))
     known: dict[int, int] = {}
     parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(5)]
-    for i, j in slices(offsets, 1 << 20):
+    for i, j in slices(offsets):
         at = offsets[i : j + 1]
         words = Words(data[at[0] : at[-1]], at - at[0])
         if not len(words.start):
@@ -164,7 +164,10 @@ def predict(data: np.ndarray, offsets: np.ndarray, scores: np.ndarray, bias: flo
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> tuple[np.ndarray, float]:
     """The model for ``labels.toxic``, from at most ``max_rows`` labelled texts outside the held-out fold."""
     rows = training_rows(documents, labels, "toxic", max_rows).orderBy("_id").toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
+    model = fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
+    del rows
+    give_back()
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, text: bool = False) -> DataFrame:
