@@ -69,6 +69,34 @@ def reshape(a: Column, rows: int, cols: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.slice(a, i * cols + 1, cols))
 
 
+def less(a: Column, b: Column) -> Column:
+    """a < b of lists, as the compiled original has it: in the places that both have, some item is less and none is greater."""
+    pairs = F.arrays_zip(F.slice(a, F.lit(1), F.least(F.size(a), F.size(b))).alias("x"), F.slice(b, F.lit(1), F.least(F.size(a), F.size(b))).alias("y"))
+    return F.exists(pairs, lambda p: p["x"] < p["y"]) & ~F.exists(pairs, lambda p: p["x"] > p["y"])
+
+
+def list_text(a: Column, item: Callable[[Column], Column]) -> Column:
+    """A list as Python shows it, with ``item`` for the text of an item."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, item), ", "), F.lit("]"))
+
+
+def dict_text(m: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """A dict as Python shows it."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(key(e["key"]), F.lit(": "), value(e["value"]))), ", "), F.lit("}"))
+
+
+def quoted(s: Column) -> Column:
+    """A text as Python shows it, without escapes but those of the quote and the backslash."""
+    plain = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.when(F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def rectangular(a: Column) -> Column:
+    """A list of lists as a 2-D array: an error where their lengths differ."""
+    same = F.forall(a, lambda x: F.size(x) == F.size(a[0]))
+    return F.when(same, a).otherwise(F.raise_error(F.lit("lists of different lengths are no array")))
+
+
 def filled(value: float, n: int) -> Column:
     return F.array_repeat(F.lit(value), n)
 

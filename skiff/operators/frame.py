@@ -7,13 +7,13 @@ import pickle
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StructField
 
 from skiff.functions import dates, numeric, text
 from skiff.operators.folds import fold_runs
-from skiff.operators.position import with_position
+from skiff.operators.position import materialize, with_position
 from skiff.plans.values import RETURNS, Value, compile_row, compile_scalar, kind_of
 
 NAN = float("nan")
@@ -206,10 +206,50 @@ class _Places:
     def __init__(self, frame: Frame):
         self.frame = frame
 
-    def __getitem__(self, key: Any) -> Frame:
+    def __getitem__(self, key: Any) -> Frame | RowSeries:
+        """Rows of a slice as a frame; the row at a place as a series, with an error where there is none."""
         if isinstance(key, slice):
             return self.frame[key]
-        return self.frame[key:] if key == -1 else self.frame[key : key + 1]
+        if key >= 0:
+            one = self.frame[key : key + 1]
+        else:  # the first of the last -key rows, if there are so many
+            one = self.frame[key:]
+            one = one._like(one.ordered().limit(1)) if len(one) == -key else one._like(one.df.limit(0))
+        row = one.df.select(*one.columns).head()
+        if row is None:
+            raise IndexError(f"no row at place {key}")
+        return RowSeries(list(row), one.columns, key, one.df)
+
+
+class Literal:
+    """Values in memory under labels: a literal series, and with its labels alone a literal index."""
+
+    def __init__(self, values: Sequence[Any], index: Sequence[Any] | None = None, name: Any = None):
+        self.values, self.name = list(values), name
+        self.index = list(range(len(self.values))) if index is None else list(index)
+        if len(self.index) != len(self.values):
+            raise ValueError(f"{len(self.values)} values and {len(self.index)} labels")
+
+    def __getitem__(self, label: Any) -> Any:
+        if label not in self.index:
+            raise KeyError(label)
+        return self.values[self.index.index(label)]
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def to_frame(self, spark: SparkSession, name: str | None = None) -> Frame:
+        """One column in the order of the values, with the labels as index; values and labels are of one type each."""
+        rows = [(i, k, v) for i, (k, v) in enumerate(zip(self.index, self.values))]
+        return Frame(spark.createDataFrame(rows, ["_place", "index", name or self.name or "value"]), ("index", "_place"), [("_place", True)])
+
+
+class RowSeries(Literal):
+    """A row, with its columns as labels; ``df`` is the same row as a DataFrame."""
+
+    def __init__(self, values: Sequence[Any], index: Sequence[str], name: Any, df: DataFrame):
+        super().__init__(values, index, name)
+        self.df = df
 
 
 class Series:
@@ -321,12 +361,22 @@ class Series:
     def unique(self) -> DataFrame:
         return self.frame.df.select(self.col.alias(self.name or "value")).distinct()
 
+    def to_arrow(self):
+        """The values in order as a pyarrow array."""
+        return self.frame.ordered().select(self.col.alias("value")).toArrow().column(0).combine_chunks()
+
     def sum(self) -> DataFrame:
-        """One row ``sum``: of numbers, 0 without rows; of texts, their concatenation in order."""
+        """One row ``sum``: of numbers, 0 without rows; of texts, their concatenation in order.
+
+        Texts are joined range by range of the order, each in a task of its own, then the ranges; only the
+        result, which is one value, has to fit a row.
+        """
         if self.kind == "str":
-            keys = [F.col(c) for c, _ in self.frame.order]
-            pairs = F.array_sort(F.collect_list(F.struct(*keys, self.col.alias("_s"))))
-            return self.frame.df.agg(F.array_join(F.transform(pairs, lambda p: p["_s"]), "").alias("sum"))
+            sorts = self.frame._sorts()
+            # Numbered in order within its range; the upper bits of a number are the range.
+            dealt = self.frame.df.select(*dict.fromkeys(c for c, _ in self.frame.order), self.col.alias("_s")).repartitionByRange(*sorts).sortWithinPartitions(*sorts)
+            local = materialize(dealt.select("_s", F.monotonically_increasing_id().alias("_at")), "ranges")
+            return joined_text(joined_text(local, "_at", "_s", F.shiftright("_at", 33).alias("_range")), "_range", "_s").select(F.coalesce("_s", F.lit("")).alias("sum"))
         zero = F.lit(0.0) if self.kind == "float" else F.lit(0).cast("bigint")
         return self.frame.df.agg(F.coalesce(F.sum(self.col), zero).alias("sum"))
 
@@ -396,6 +446,12 @@ class _Dates:
         return Series(self.s.frame, F.hour(self.s.col), self.s.name, "int")
 
 
+def joined_text(df: DataFrame, order: str, value: str, *by: Column) -> DataFrame:
+    """The texts of each group in order, joined to one; null texts are left out."""
+    pairs = F.array_sort(F.collect_list(F.struct(order, value)))
+    return df.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda p: p[value]), "").alias(value))
+
+
 class Groups:
     def __init__(self, frame: Frame, by: list[str], value: str | None = None):
         self.frame, self.by, self.value = frame, by, value
@@ -415,6 +471,10 @@ class Groups:
         df = self.frame.df.groupBy(*self.by).agg(*cols) if cols else self.frame.df.select(*self.by).distinct()
         return Frame(df, self.by, [(k, True) for k in self.by])
 
+    def join_text(self, order: str) -> Frame:
+        """The texts of each group joined in the order of a column; the text of one group has to fit a row."""
+        return Frame(joined_text(self.frame.df, order, self.value, *map(F.col, self.by)), self.by, [(k, True) for k in self.by])
+
     def nunique(self) -> Frame:
         df = self.frame.df.groupBy(*self.by).agg(F.countDistinct(self.value).alias(self.value))
         return Frame(df, self.by, [(k, True) for k in self.by])

@@ -261,9 +261,35 @@ def series_sum(spark, d):
     return frame(spark, d, "lineitem")["l_linenumber"].sum()
 
 
-@query("SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS sum FROM nation")
+@query("SELECT string_agg(s_name, '' ORDER BY s_suppkey) AS sum FROM supplier")
 def series_sum_string(spark, d):
-    return frame(spark, d, "nation", [("n_nationkey", True)])["n_name"].sum()
+    return frame(spark, d, "supplier", [("s_suppkey", True)])["s_name"].sum()
+
+
+@query("SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, '' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS flags FROM lineitem GROUP BY 1")
+def group_sum_string(spark, d):
+    f = frame(spark, d, "lineitem")
+    f["flags"] = f["l_returnflag"] + f["l_linestatus"]
+    return f.groupby("l_orderkey")["flags"].join_text("l_linenumber").df
+
+
+@query("SELECT vec_id, list_sum(list_transform(list_zip(embedding[1:4], embedding[5:8]), lambda p: CAST(p[1] < p[2] AS INTEGER))) > 0 AND list_sum(list_transform(list_zip(embedding[1:4], embedding[5:8]), lambda p: CAST(p[1] > p[2] AS INTEGER))) = 0 AS less FROM embeddings")
+def list_less(spark, d):
+    e = F.col("embedding")
+    return load(spark, d, "embeddings").select("vec_id", lists.less(lists.cut(e, 0, 4), lists.cut(e, 4, 8)).alias("less"))
+
+
+@query("SELECT o_orderkey, '[' || o_custkey || ', ' || o_shippriority || ']' AS l, '{' || chr(39) || o_orderstatus || chr(39) || ': ' || o_custkey || '}' AS m FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 3 AS o_shippriority FROM orders)")
+def container_text(spark, d):
+    shown = lambda c: c.cast("string")
+    pair = F.array(F.col("o_custkey"), F.col("o_orderkey") % 3)
+    return load(spark, d, "orders").select("o_orderkey", lists.list_text(pair, shown).alias("l"), lists.dict_text(F.create_map("o_orderstatus", "o_custkey"), lists.quoted, shown).alias("m"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 3.0::DOUBLE + l_quantity * 1 + l_tax * 2 AS y FROM lineitem")
+def stored_model_score(spark, d):
+    m = scoring.from_json('{"model": "LinearRegression", "coef": [1.0, 2.0], "intercept": 3.0}')
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m.predict([F.col("l_quantity"), F.col("l_tax")]).alias("y"))
 
 
 @query("SELECT user_id, round(sum(value * value), 2) AS squares FROM events GROUP BY 1")
@@ -440,14 +466,22 @@ def pipeline_score(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m.predict([F.col("l_quantity")]).alias("y"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS bedrooms, CAST(p_partkey % 4 AS BIGINT) AS bathrooms, CAST(1000 + p_size AS BIGINT) AS sqft, 'sale' AS offer, CAST(round(p_retailprice) AS BIGINT) * 100 AS price FROM part WHERE p_size < 10 AND CAST(round(p_retailprice) AS BIGINT) * 100 > 100000")
+@query("""WITH r AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(1000 + p_size AS BIGINT) AS sqft, CAST(round(p_retailprice) AS BIGINT) * (50 + 3 * p_size) AS asked,
+        p_partkey % 11 <> 0 AS told, p_partkey % 5 AS k FROM part),
+    p AS (SELECT *, CASE k WHEN 0 THEN 'sale' WHEN 1 THEN 'rent' WHEN 2 THEN 'sold' WHEN 3 THEN 'foreclosed' ELSE 'House by the Lake' END AS offer, CASE WHEN k = 2 THEN (60 + size) * sqft WHEN told THEN asked END AS price FROM r)
+    SELECT p_partkey, size AS bedrooms, CAST(p_partkey % 4 AS BIGINT) AS bathrooms, sqft, offer, CAST(price AS BIGINT) AS price FROM p WHERE size < 10 AND p_partkey % 7 <> 0 AND price > 100000 AND price < 20000000""")
 def wl_clean_listings(spark, d):
-    price = F.round("p_retailprice").cast("bigint") * 100
-    sqft = F.regexp_replace((F.col("p_size") + 1000).cast("string"), "([0-9])([0-9]{3})$", "$1,$2")
+    def commas(number):
+        return F.format_number(number, 0)
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    asked = F.round("p_retailprice").cast("bigint") * (50 + 3 * size)
+    facts = F.concat(size.cast("string"), F.lit(" bds , "), (key % 4).cast("string"), F.lit(" ba , "), commas(size + 1000), F.lit(" sqft"), F.lit(", Price/sqft: $"), (60 + size).cast("string"))
+    kind = F.when(key % 7 == 0, "Condo").otherwise("House")  # condos are left out, as are numbers that cannot be read
+    title = F.when(key % 5 == 0, F.concat(kind, F.lit(" For Sale"))).when(key % 5 == 1, F.concat(kind, F.lit(" For Rent"))).when(key % 5 == 2, F.concat(F.lit("SOLD: "), kind)).when(key % 5 == 3, F.concat(F.lit("Foreclosed "), kind)).otherwise(F.concat(kind, F.lit(" by the Lake")))
     raw = load(spark, d, "part").select(
-        F.concat(F.col("p_size").cast("string"), F.lit(" bds , "), (F.col("p_partkey") % 4).cast("string"), F.lit(" ba , "), sqft, F.lit(" sqft")).alias("facts and features"),
-        F.lit("House For Sale").alias("title"), F.concat(F.lit("$"), price.cast("string")).alias("price"), F.lit("10001").alias("postal_code"),
-        F.col("p_brand").alias("city"), F.lit("NY").alias("state"), F.col("p_partkey").cast("string").alias("url"), F.lit("").alias("address"),
+        facts.alias("facts and features"), title.alias("title"), F.when(key % 11 != 0, F.concat(F.lit("$"), commas(asked))).otherwise("on request").alias("price"), F.lit("10001").alias("postal_code"),
+        F.col("p_brand").alias("city"), F.lit("NY").alias("state"), key.cast("string").alias("url"), F.lit("").alias("address"),
     )
     return workloads.clean_listings(raw).select(F.col("url").cast("bigint").alias("p_partkey"), "bedrooms", "bathrooms", "sqft", "offer", "price")
 
@@ -465,7 +499,15 @@ def wl_crime_index(spark, d):
     return df.agg(F.round(F.sum(workloads.crime_index(F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_linenumber"))), 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT event_type AS symbol, date_trunc('second', ts) AS second, CAST(sum(CAST(trunc(value) AS BIGINT)) AS DOUBLE) AS x FROM events GROUP BY 1, 2),
+    n AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY second) AS k, x FROM t),
+    s AS (SELECT symbol, 0 AS k, CAST([] AS DOUBLE[]) AS w, 0.0::DOUBLE AS center, 0.0::DOUBLE AS spread, 0 AS total FROM (SELECT DISTINCT symbol FROM n)
+        UNION ALL SELECT s.symbol, s.k + 1,
+            CASE WHEN len(w) < 100 THEN list_append(w, x) ELSE list_append(w[2:], CASE WHEN abs(x - center) > 10 * spread THEN 0.5 * x + 0.5 * w[-1] ELSE x END) END,
+            CASE WHEN len(w) < 100 THEN 0 ELSE list_sum(w) / 100 END, CASE WHEN len(w) < 100 THEN 0 ELSE list_var_samp(w) END,
+            total + CASE WHEN len(w) < 100 OR abs(x - center) <= 10 * spread THEN 0 WHEN x > center THEN 1 ELSE -1 END
+        FROM s JOIN n ON n.symbol = s.symbol AND n.k = s.k + 1)
+    SELECT symbol, CAST(max_by(total, k) AS BIGINT) AS peaks FROM s GROUP BY 1""")
 def wl_ticks(spark, d):
     return workloads.tick_peaks(load(spark, d, "events"), "event_type", F.col("ts"), F.col("value").cast("bigint"))
 
@@ -488,15 +530,23 @@ def wl_haversine(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(workloads.haversine(F.col("l_tax"), F.col("l_discount")), 4).alias("miles"))
 
 
-@query()
+#: erf in SQL by another way: exp(-x^2) times the sum of x^(2n+1) / gamma(n + 3/2), all terms of one sign.
+_ERF = "CASE WHEN abs(x) >= 6 THEN sign(x) ELSE sign(x) * list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(greatest(abs(x), 1e-300)) - x * x - lgamma(n + 1.5)))) END"
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity AS price, l_tax AS rate, l_discount + 0.1 AS vol FROM lineitem),
+    d AS (SELECT *, (ln(price / 25.0::DOUBLE) + (rate + vol * vol / 2)) / vol AS d1 FROM o),
+    n AS (SELECT *, {_ERF.replace('x', '(d1 / sqrt(2.0))').replace('e(d1 / sqrt(2.0))p', 'exp')} AS e1, {_ERF.replace('x', '((d1 - vol) / sqrt(2.0))').replace('e((d1 - vol) / sqrt(2.0))p', 'exp')} AS e2 FROM d),
+    c AS (SELECT *, price * (e1 + 1) / 2 - 25.0::DOUBLE * exp(-rate) * (e2 + 1) / 2 AS call FROM n)
+    SELECT l_orderkey, l_linenumber, round(call, 6) + 0.0 AS call, round(25.0::DOUBLE * exp(-rate) - price + call, 6) + 0.0 AS put FROM c""")
 def wl_blackscholes(spark, d):
     call, put = workloads.black_scholes(F.col("l_quantity"), F.lit(25.0), F.lit(1.0), F.col("l_tax"), F.col("l_discount") + 0.1)
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", call.alias("call"), put.alias("put"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(call, 6).alias("call"), F.round(put, 6).alias("put"))
 
 
-@query("""WITH g AS (SELECT vec_id, i, CAST(embedding[CAST(i + 1 AS BIGINT)] AS DOUBLE) AS v FROM embeddings, range(64) r(i))
-    SELECT c.vec_id AS i, CAST(c.i AS BIGINT) AS j, round(a.v + b.v + l.v + r.v - 4 * c.v, 5) AS v FROM g c JOIN g a ON a.vec_id = c.vec_id - 1 AND a.i = c.i JOIN g b ON b.vec_id = c.vec_id + 1 AND b.i = c.i
-    JOIN g l ON l.vec_id = c.vec_id AND l.i = c.i - 1 JOIN g r ON r.vec_id = c.vec_id AND r.i = c.i + 1""")
+@query("""WITH g AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    s AS (SELECT i, j, lag(v) OVER c + lead(v) OVER c + lag(v) OVER r + lead(v) OVER r - 4 * v AS v FROM g WINDOW r AS (PARTITION BY i ORDER BY j), c AS (PARTITION BY j ORDER BY i))
+    SELECT i, j, round(v, 5) AS v FROM s WHERE v IS NOT NULL""")
 def wl_centdiff(spark, d):
     e = load(spark, d, "embeddings")
     n = e.agg(F.max("vec_id")).first()[0]
@@ -504,7 +554,16 @@ def wl_centdiff(spark, d):
     return workloads.centered_difference(Grid(long, (n or 0) + 1, 64)).df.select("i", "j", F.round("v", 5).alias("v"))
 
 
-@query()
+def _jacobi(rounds: int) -> str:
+    """SQL of Jacobi steps; the neighbours of a cell are the rows before and after it in its row and column."""
+    out = "WITH g0 AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+    for n in range(rounds):
+        out += f""", g{n + 1} AS (SELECT i, j, CASE WHEN i > 0 AND i < (SELECT max(vec_id) FROM embeddings) AND j BETWEEN 1 AND 62
+            THEN (lag(v) OVER r + lead(v) OVER r + lag(v) OVER c + lead(v) OVER c) / 4 ELSE v END AS v FROM g{n} WINDOW r AS (PARTITION BY i ORDER BY j), c AS (PARTITION BY j ORDER BY i))"""
+    return f"{out} SELECT i, j, round(v, 6) AS v FROM g{rounds}"
+
+
+@query(_jacobi(3))
 def wl_laplace(spark, d):
     e = load(spark, d, "embeddings")
     long = e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
@@ -512,14 +571,34 @@ def wl_laplace(spark, d):
     return workloads.laplace(Grid(long, (n or 0) + 1, 64), 3).df.select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("SELECT c_custkey, ((CAST(1111000000000 AS HUGEINT) + c_custkey) * 1000000 + 131400) % 97 = 1 AS ok FROM customer")
+@query("""WITH a AS (SELECT c_custkey, (CAST(1111000000000 AS HUGEINT) + c_custkey) * 1000000 + 131400 AS n FROM customer)
+    SELECT c_custkey, (n + CASE WHEN c_custkey % 3 = 0 THEN 98 - n % 97 ELSE 0 END) % 97 = 1 AS ok FROM a""")
 def wl_iban(spark, d):
-    # DE00 and an account number: the check digits fit about one customer in 97.
-    account = F.concat(F.lit("DE00"), F.lpad((F.lit(1_111_000_000_000).cast("bigint") + F.col("c_custkey")).cast("string"), 13, "0"))
-    return load(spark, d, "customer").select("c_custkey", workloads.iban_valid(account).alias("ok"))
-
-
-@query()
+    # Every third customer has right check digits, the others 00; written in groups of four in four ways.
+    account = F.lit(1_111_000_000_000).cast("bigint") + F.col("c_custkey")
+    check = F.when(F.col("c_custkey") % 3 == 0, 98 - (account * 1_000_000 + 131_400) % 97).otherwise(0)
+    plain = F.concat(F.lit("de"), F.lpad(check.cast("string"), 2, "0"), F.lpad(account.cast("string"), 13, "0"))
+    between = F.element_at(F.array(*map(F.lit, ("", " ", "-", "."))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    written = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.substring(plain, i * 4 + 1, F.lit(4))), "~")
+    return load(spark, d, "customer").select("c_custkey", workloads.iban_valid(F.replace(written, F.lit("~"), between)).alias("ok"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT vec_id, CAST(list_grade_up(CAST(embedding[1:8] AS DOUBLE[])) AS INTEGER[]) AS p, 0 AS n FROM embeddings
+        UNION ALL SELECT vec_id, list_concat(list_reverse(p[1:p[1]]), p[p[1] + 1:]), n + 1 FROM s WHERE p[1] <> 1)
+    SELECT vec_id, CAST(max(n) AS BIGINT) AS flips FROM s GROUP BY 1""")
+def wl_fannkuch(spark, d):
+    # The order of the first eight components is a permutation of 1..8.
+    places = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    return load(spark, d, "embeddings").select("vec_id", workloads.prefix_flips(F.transform(F.array_sort(places), lambda p: p["i"]), 22).cast("bigint").alias("flips"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT user_id, event_type AS c, min(struct_pack(ts := ts, event_id := event_id)) AS at FROM events GROUP BY 1, 2),
+    n AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM f x JOIN f y ON x.user_id = y.user_id AND x.at < y.at GROUP BY 1, 2),
+    e AS (SELECT n.a, n.b, n.n AS w FROM n LEFT JOIN n m ON m.a = n.b AND m.b = n.a WHERE n.n > coalesce(m.n, 0)),
+    p AS (SELECT a, b, w, 1 AS k FROM e UNION ALL SELECT p.a, e.b, least(p.w, e.w), k + 1 FROM p JOIN e ON p.b = e.a WHERE p.a <> e.b AND k < 6),
+    best AS (SELECT a, b, max(w) AS w FROM p GROUP BY 1, 2)
+    SELECT c AS candidate, CAST(coalesce(wins, 0) AS BIGINT) AS wins FROM (SELECT DISTINCT c FROM f)
+    LEFT JOIN (SELECT x.a, count(*) AS wins FROM best x LEFT JOIN best y ON y.a = x.b AND y.b = x.a WHERE x.w > coalesce(y.w, 0) GROUP BY 1) ON a = c""")
 def wl_schulze(spark, d):
     """Customers rank market segments of their orders' priorities: each user ranks event types by first use."""
     first = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skiff.operators.frame import Frame
+from skiff.operators.frame import Frame, Literal
 from skiff.plans.values import NotRecordable, choose
 from skiff.sources import io
 
@@ -156,3 +156,31 @@ def test_folds_keep_the_order_and_hold_no_group(abc, spark):
     assert rows(abc[abc["a"] > 5]["a"].fold(7, lambda s, v: s + v)) == [(7,)]
     with pytest.raises(TypeError):
         abc.groupby("a")["b"].aggregate((0.0, 0), lambda s, v: s)
+
+
+def test_a_row_is_a_series(spark):
+    f = Frame(spark.createDataFrame([(2, "x", 0.5), (1, "y", 1.5)], "k long, s string, v double"), order=[("k", True)])
+    row = f.iloc[1]
+    assert (row.values, row.index, row.name, row["s"]) == ([2, "x", 0.5], ["k", "s", "v"], 1, "x")
+    assert f.iloc[-1].values == row.values and f.iloc[-2]["k"] == 1
+    for bad in (2, -3):
+        with pytest.raises(IndexError):
+            f.iloc[bad]
+
+
+def test_literal_series(spark):
+    s = Literal([5.0, 7.0, 6.0], ["a", "b", "c"], "v")
+    f = s.to_frame(spark)
+    assert s["b"] == 7.0 and len(s) == 3 and f.at_label("c").df.select("v").collect()[0].v == 6.0
+    assert f["v"].to_arrow().to_pylist() == [5.0, 7.0, 6.0] and Literal([1]).index == [0]
+    with pytest.raises(ValueError):
+        Literal([1, 2], ["a"])
+    with pytest.raises(KeyError):
+        s["z"]
+
+
+def test_texts_are_summed_in_order(spark):
+    rows = [(i, None if i % 7 == 0 else chr(97 + i % 26)) for i in range(200)]
+    f = Frame(spark.createDataFrame(rows[::-1], "k long, s string").repartition(5), order=[("k", True)])
+    assert f["s"].sum().first()[0] == "".join(x for _, x in rows if x)
+    assert f[f["k"] < 0]["s"].sum().first()[0] == ""

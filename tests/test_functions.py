@@ -141,3 +141,54 @@ def test_arrow_files(spark, tmp_path):
     with pa.ipc.new_file(str(tmp_path / "t.arrow"), t.schema) as w:
         w.write_table(t)
     assert [tuple(r) for r in io.scan_arrow(spark, f"file://{tmp_path}/t.arrow").orderBy("x").collect()] == [(1, "a"), (2, None), (3, "c")]
+
+
+def test_erf(spark):
+    xs = [-7.0, -5.5, -2.0, -0.47, -0.3, 0.0, 0.1, 0.46, 1.0, 3.99, 4.01, 5.9, 30.0]
+    got = one(spark, *[numeric.erf(F.lit(x)) for x in xs])
+    assert got == pytest.approx([math.erf(x) for x in xs], abs=1e-14) and math.isnan(one(spark, numeric.erf(F.lit(float("nan"))))[0])
+
+
+def test_list_order_text_and_shape(spark):
+    def a(*v):
+        return F.array(*map(F.lit, v))
+
+    got = one(spark, lists.less(a(1, 2), a(1, 3)), lists.less(a(1, 4), a(2, 3)), lists.less(a(1, 2), a(1, 2, 3)), lists.less(a(0), a(1, -5)))
+    assert got == (True, False, False, True)
+    shown = one(spark, lists.list_text(a("x", "it's"), lists.quoted), lists.list_text(a(1, 2), lambda c: c.cast("string")), lists.dict_text(F.create_map(F.lit("k"), F.lit(1)), lists.quoted, lambda c: c.cast("string")))
+    assert shown == (repr(["x", "it's"]), repr([1, 2]), repr({"k": 1}))
+    assert one(spark, lists.rectangular(F.array(a(1, 2), a(3, 4)))) == ([[1, 2], [3, 4]],)
+    with pytest.raises(Exception, match="different lengths"):
+        one(spark, lists.rectangular(F.array(a(1, 2), a(3))))
+
+
+def test_stored_models(spark):
+    class LinearRegression:
+        coef_, intercept_ = [2.0, -1.0], 0.5
+
+    class MinMaxScaler:
+        data_min_, scale_ = [1.0, 0.0], [0.5, 2.0]
+
+    class Pipeline:
+        steps = [("scale", MinMaxScaler()), ("fit", LinearRegression())]
+
+    x = [F.lit(3.0), F.lit(4.0)]
+    read = scoring.from_json(scoring.to_json(scoring.from_fitted(Pipeline())))
+    assert one(spark, scoring.from_fitted(LinearRegression()).predict(x), read.predict(x)) == (2.5, 0.5 + 2 * 1.0 - 8.0)
+
+
+def test_iban_in_groups(spark):
+    good = ("GB82 WEST 1234 5698 7654 32", "GB82-WEST-1234-5698-7654-32", "gb82.west.1234.5698.7654.32", "GB82WEST12345698765432")
+    assert one(spark, *[workloads.iban_valid(F.lit(x)) for x in good], workloads.iban_valid(F.lit(good[0].replace("82", "83")))) == (True, True, True, True, False)
+
+
+def test_prefix_flips(spark):
+    def plain(p):
+        p, n = list(p), 0
+        while p[0] != 1:
+            p[: p[0]] = p[: p[0]][::-1]
+            n += 1
+        return n
+
+    for p in ([1, 2, 3, 4], [4, 3, 2, 1], [3, 1, 4, 2], [2, 4, 1, 3]):
+        assert one(spark, workloads.prefix_flips(F.array(*map(F.lit, p)), 4)) == (plain(p),)
