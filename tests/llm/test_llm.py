@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tests_llm_shared import WORD, brute_components, brute_cut
+from tests_llm_shared import WORD, brute_components, brute_cut, plain_counts, plain_quality, plain_toxicity
 
 from skiff.llm import best_fit_packing, jaccard_join, label_sharding, projection_index, quality_rules, rule_classifier, segment_bpe, suffix_dedup, suffix_sort, toxicity, warc_bundles
 from skiff.llm.common import training_rows
@@ -337,6 +337,52 @@ def test_toxicity_held_out(tables):
     assert np.mean([r.toxic == r.predicted for r in got]) >= 0.93 and all(0 <= r.score <= 1 for r in got)
 
 
+ODD_ROWS = [*EDGE, (7, "Word! " * 3000), (7, "Word! " * 3000), (None, "one # two | three\n" * 60), (8, "x" * 30000), (9, "é.\né.\n! 12 A"), (10, "dull rotten " * 40)]
+
+
+def test_models_equal_their_plain_evaluation(spark, tables):
+    docs, labels = tables
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id % 4 = 0").collect()] + ODD_ROWS
+    some = documents(spark, rows)
+    for module, learn, add, plain, cut in ((toxicity, toxicity.learn, toxicity.with_toxicity, plain_toxicity, 0.5), (rule_classifier, rule_classifier.learn, rule_classifier.with_quality, plain_quality, 0.3)):
+        model = learn(docs, labels)
+        got = add(some, model, "doc_id", text=True).collect()
+        assert len(got) == len(rows)
+        known = {t: plain(t, model) for t in {t for _, t in rows}}
+        assert collections.Counter((r.doc_id, r._text) for r in got) == collections.Counter(rows)
+        assert all(r.score == pytest.approx(known[r._text], abs=1e-6) for r in got), module.__name__
+        scored = (toxicity.score_toxicity if module is toxicity else rule_classifier.score_quality)(some, labels.where("1 = 0")).collect()
+        assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= cut) for r in scored)
+        assert all(r.held_out for r in scored if r.doc_id is None)
+
+
+def test_verdicts_equal_their_plain_evaluation(spark, tables):
+    rows = [(r.doc_id, r.text) for r in tables[0].collect()] + ODD_ROWS
+    texts = {t: plain_counts(t) for t in {t for _, t in rows}}
+    names = list(quality_rules.rules())
+
+    def votes(c):
+        n, lines, letters = max(1, c["n_words"]), max(1, c["n_lines"]), max(1, c["n_upper"] + c["n_lower"])
+        mean, stops, some = c["word_chars"] / n, c["n_stops"] / n, c["n_words"] >= 20
+        against = {"symbols": c["n_symbols"] / n > 0.15, "marks": c["n_symbols"] / n > 0.5, "pipes": c["n_pipes"] / n > 0.1, "bangs": c["n_bangs"] / n > 0.3, "case": c["n_upper"] / letters > 0.5, "runs": c["n_same_next"] / n > 0.2, "repetition": c["n_repeat_words"] / n > 0.4, "lines": c["n_dup_lines"] / lines > 0.5}
+        out = {k: -int(v) for k, v in against.items()}
+        out["length"] = -1 if c["n_words"] < 20 else int(80 <= c["n_words"] <= 50_000)
+        out["word_length"] = -1 if mean < 2.2 or mean > 12 else int(3.2 <= mean <= 8 and some)
+        out["sentences"] = -1 if stops < 0.002 and c["n_words"] >= 50 else int(0.02 <= stops <= 0.4 and some)
+        return tuple(out[n] for n in names)
+
+    of = {t: votes(c) for t, c in texts.items()}
+    patterns = sorted(collections.Counter(of[t] for _, t in rows).items())
+    odds, weight = quality_rules.estimate(np.array([p for p, _ in patterns]), np.array([float(n) for _, n in patterns]))
+    want = []
+    for d, t in rows:
+        c = texts[t]
+        failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        want.append((d, c["n_words"], failed, not failed and odds + sum(weight[i][v + 1] for i, v in enumerate(of[t])) >= 0))
+    got = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality_rules.judge_quality(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(x[3] for x in got) and not all(x[3] or x[2] for x in got)
+
+
 def test_misspellings_share_scores():
     r = random.Random(3)
     clean = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
