@@ -110,7 +110,7 @@ GAP, LEFT, PLACED = 0, 1, 2
 #: A gap has kind, size and key (its sequence) only; key is the number of a piece, and size its length.
 ROW = "kind int, size long, key long, stretch long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long, at long"
 GIVEN = [x.split()[0] for x in ROW.split(", ")][:-3]
-#: Tokens of one stretch of the tape, in sequences.
+#: Tokens of one stretch of the tape, in sequences, for the longest pieces; shorter ones have shorter stretches, of two at least.
 STRETCH = 16
 
 
@@ -190,7 +190,7 @@ def sweep(rows: DataFrame, capacity: int) -> DataFrame:
     return map_batches(rows.select(GIVEN), run, ROW)
 
 
-def _round(docs: DataFrame, gaps: DataFrame, capacity: int, shift: int) -> tuple[DataFrame, DataFrame]:
+def _round(docs: DataFrame, gaps: DataFrame, capacity: int, stretch: int, shift: int) -> tuple[DataFrame, DataFrame]:
     """The rows after the sweeps of ranges, and after those of stretches of the tape that hold what these left."""
     order = [F.col("size").desc(), "kind", "key"]
     union = docs.unionByName(gaps, allowMissingColumns=True).withColumn("stretch", F.lit(0).cast("long"))
@@ -202,7 +202,7 @@ def _round(docs: DataFrame, gaps: DataFrame, capacity: int, shift: int) -> tuple
     moved = left.groupBy("stretch").agg(F.sum(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size"))).alias("moved"))
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     begins = moved.select("stretch", F.coalesce(F.sum("moved").over(before), F.lit(0)).alias("_begin"))
-    place: Column = F.floor((F.col("at") + F.col("_begin") + shift) / (STRETCH * capacity))
+    place: Column = F.floor((F.col("at") + F.col("_begin") + shift) / stretch)
     taped = left.join(F.broadcast(begins), "stretch").withColumn("stretch", place.cast("long"))
     second = sweep(taped.repartition("stretch").sortWithinPartitions("stretch", *order), capacity)
     return first, materialize(second, "stretches")
@@ -229,14 +229,15 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     gaps = [alone.where(F.col("size") < capacity).select(gap, (capacity - F.col("size")).alias("size"), "key")]
     opened, turn = 0, 0
     for b, a, left in zip(bounds, bounds[1:], tokens):
+        stretch = capacity * max(2, STRETCH * b // bounds[0])
         docs = cut.where((F.col("size") > a) & (F.col("size") <= b)).withColumn("kind", F.lit(LEFT))
         while left:
             # A gap lies within one stretch every second round at least, so the rounds end.
-            shift = turn % 2 * STRETCH * capacity // 2
+            shift = turn % 2 * stretch // 2
             use = [g.where(F.col("size") > a) for g in gaps]
             for g in use[1:]:
                 use[0] = use[0].unionByName(g)
-            first, second = _round(docs, use[0], capacity, shift)
+            first, second = _round(docs, use[0], capacity, stretch, shift)
             placed += [x.where(F.col("kind") == PLACED) for x in (first, second)]
             gaps = [g.where(F.col("size") <= a) for g in gaps] + [second.where(F.col("kind") == GAP).select("kind", "size", "key")]
             docs = second.where(F.col("kind") == LEFT).select("kind", "size", "key", "doc_id", "piece", "start", "ids_crc32")
