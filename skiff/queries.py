@@ -466,17 +466,17 @@ def pipeline_score(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m.predict([F.col("l_quantity")]).alias("y"))
 
 
-@query("""WITH r AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(1000 + p_size AS BIGINT) AS sqft, CAST(round(p_retailprice) AS BIGINT) * (50 + 3 * p_size) AS asked,
+@query("""WITH r AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(1000 + p_size AS BIGINT) AS sqft, CAST(round(p_retailprice) AS BIGINT) * (80 + 6 * p_size) AS asked,
         p_partkey % 11 <> 0 AS told, p_partkey % 5 AS k FROM part),
-    p AS (SELECT *, CASE k WHEN 0 THEN 'sale' WHEN 1 THEN 'rent' WHEN 2 THEN 'sold' WHEN 3 THEN 'foreclosed' ELSE 'House by the Lake' END AS offer, CASE WHEN k = 2 THEN (60 + size) * sqft WHEN told THEN asked END AS price FROM r)
+    p AS (SELECT *, CASE k WHEN 0 THEN 'sale' WHEN 1 THEN 'rent' WHEN 2 THEN 'sold' WHEN 3 THEN 'foreclosed' ELSE 'House by the Lake' END AS offer, CASE WHEN k = 2 THEN (90 + 2 * size) * sqft WHEN told THEN asked END AS price FROM r)
     SELECT p_partkey, size AS bedrooms, CAST(p_partkey % 4 AS BIGINT) AS bathrooms, sqft, offer, CAST(price AS BIGINT) AS price FROM p WHERE size < 10 AND p_partkey % 7 <> 0 AND price > 100000 AND price < 20000000""")
 def wl_clean_listings(spark, d):
     def commas(number):
         return F.format_number(number, 0)
 
     key, size = F.col("p_partkey"), F.col("p_size")
-    asked = F.round("p_retailprice").cast("bigint") * (50 + 3 * size)
-    facts = F.concat(size.cast("string"), F.lit(" bds , "), (key % 4).cast("string"), F.lit(" ba , "), commas(size + 1000), F.lit(" sqft"), F.lit(", Price/sqft: $"), (60 + size).cast("string"))
+    asked = F.round("p_retailprice").cast("bigint") * (80 + 6 * size)
+    facts = F.concat(size.cast("string"), F.lit(" bds , "), (key % 4).cast("string"), F.lit(" ba , "), commas(size + 1000), F.lit(" sqft"), F.lit(", Price/sqft: $"), (90 + 2 * size).cast("string"))
     kind = F.when(key % 7 == 0, "Condo").otherwise("House")  # condos are left out, as are numbers that cannot be read
     title = F.when(key % 5 == 0, F.concat(kind, F.lit(" For Sale"))).when(key % 5 == 1, F.concat(kind, F.lit(" For Rent"))).when(key % 5 == 2, F.concat(F.lit("SOLD: "), kind)).when(key % 5 == 3, F.concat(F.lit("Foreclosed "), kind)).otherwise(F.concat(kind, F.lit(" by the Lake")))
     raw = load(spark, d, "part").select(
