@@ -231,23 +231,26 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     for b, a, left in zip(bounds, bounds[1:], tokens):
         stretch = capacity * max(2, STRETCH * b // bounds[0])
         docs = cut.where((F.col("size") > a) & (F.col("size") <= b)).withColumn("kind", F.lit(LEFT))
+        # Gaps that no piece of the class fits wait; a round reads those that the round before it wrote, and no older ones.
+        active, gaps = [g.where(F.col("size") > a) for g in gaps], [g.where(F.col("size") <= a) for g in gaps]
         while left:
             # A gap lies within one stretch every second round at least, so the rounds end.
             shift = turn % 2 * stretch // 2
-            use = [g.where(F.col("size") > a) for g in gaps]
-            for g in use[1:]:
-                use[0] = use[0].unionByName(g)
-            first, second = _round(docs, use[0], capacity, stretch, shift)
+            use = active[0]
+            for g in active[1:]:
+                use = use.unionByName(g)
+            first, second = _round(docs, use, capacity, stretch, shift)
             placed += [x.where(F.col("kind") == PLACED) for x in (first, second)]
-            gaps = [g.where(F.col("size") <= a) for g in gaps] + [second.where(F.col("kind") == GAP).select("kind", "size", "key")]
+            active = [second.where(F.col("kind") == GAP).select("kind", "size", "key")]
             docs = second.where(F.col("kind") == LEFT).select("kind", "size", "key", "doc_id", "piece", "start", "ids_crc32")
             left = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
             if left:
                 new = -(-left // capacity)
                 fresh = cut.sparkSession.range(opened, opened + new)
-                gaps.append(fresh.select(gap, F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key")))
+                active.append(fresh.select(gap, F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key")))
                 opened += new
             turn += 1
+        gaps += active
     cols = ["doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "sequence_id", "offset"]
     out = placed[0].select(cols)
     for x in placed[1:]:
