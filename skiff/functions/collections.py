@@ -57,6 +57,25 @@ def with_entry(m: Column, key: Column, value: Column) -> Column:
     return F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(key, value))
 
 
+def in_order(a: Column, reverse: bool = False) -> Column:
+    """A sorted list; nulls last, or first in reverse."""
+    return F.reverse(F.array_sort(a)) if reverse else F.array_sort(a)
+
+
+def keys(m: Column) -> Column:
+    return F.map_keys(m)
+
+
+def items(m: Column) -> Column:
+    """The (key, value) pairs of a dict, to go through with ``comprehension`` or ``fold``."""
+    return F.map_entries(m)
+
+
+def enumerated(a: Column, start: int = 0) -> Column:
+    """Pairs (i, v) of places and items."""
+    return F.transform(a, lambda v, i: F.struct((i + start).alias("i"), v.alias("v")))
+
+
 def elementwise(a: Column, b: Column | float, op: Callable) -> Column:
     """op on arrays of equal length, or on an array and a scalar."""
     if isinstance(b, Column):

@@ -111,3 +111,15 @@ lower, upper, length, concat, levenshtein = F.lower, F.upper, F.char_length, F.c
 
 def bytes_slice(c: Column, start: int, stop: int) -> Column:
     return F.substring(c.cast("binary"), start + 1, max(0, stop - start))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z folded and no other letter, as the compiled original does; ``lower`` folds all of Unicode."""
+    return F.translate(c, _UPPER, _LOWER)
+
+
+def ascii_upper(c: Column) -> Column:
+    return F.translate(c, _LOWER, _UPPER)

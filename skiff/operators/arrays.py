@@ -19,6 +19,11 @@ class Grid:
         flat = spark.range(rows * cols)
         return Grid(flat.select((F.col("id") / cols).cast("bigint").alias("i"), (F.col("id") % cols).alias("j"), F.lit(float(value)).alias("v")), rows, cols)
 
+    @staticmethod
+    def random(spark: SparkSession, rows: int, cols: int, seed: int) -> Grid:
+        """Uniform values from [0, 1); the same for the same seed and number of partitions."""
+        return Grid(Grid.filled(spark, rows, cols, 0.0).df.withColumn("v", F.rand(seed)), rows, cols)
+
     @staticmethod
     def from_flat(df: DataFrame, place: Column, value: Column, rows: int, cols: int) -> Grid:
         """Reshape numbered values: coordinates come from the place."""
@@ -57,6 +62,20 @@ class Grid:
         hit = F.col("i").between(a.start, a.stop - 1) & ((F.col("i") - a.start) % a.step == 0) & F.col("j").between(b.start, b.stop - 1) & ((F.col("j") - b.start) % b.step == 0)
         return Grid(self.df.withColumn("v", F.when(hit, float(value)).otherwise(F.col("v"))), self.rows, self.cols)
 
+    def at(self, i: int, j: int) -> DataFrame:
+        """The value of one cell, as a row."""
+        i, j = range(self.rows)[i], range(self.cols)[j]
+        return self.df.where((F.col("i") == i) & (F.col("j") == j)).select("v")
+
+    def put_grid(self, i: slice, j: slice, other: Grid) -> Grid:
+        """The array with the cells of a range of it replaced by those of an array of that shape."""
+        a, b = range(*i.indices(self.rows)), range(*j.indices(self.cols))
+        if other.shape != (len(a), len(b)):
+            raise ValueError("arrays of different shapes")
+        placed = other.df.select((F.col("i") * a.step + a.start).alias("i"), (F.col("j") * b.step + b.start).alias("j"), F.struct("v").alias("w"))
+        out = self.df.join(placed, ["i", "j"], "left")
+        return Grid(out.select("i", "j", F.when(F.col("w").isNotNull(), F.col("w.v")).otherwise(F.col("v")).alias("v")), self.rows, self.cols)
+
     def stencil(self, weights: dict[tuple[int, int], float]) -> Grid:
         """The weighted sum of neighbours of every inner cell; border cells keep their value.
 

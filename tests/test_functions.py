@@ -192,3 +192,25 @@ def test_prefix_flips(spark):
 
     for p in ([1, 2, 3, 4], [4, 3, 2, 1], [3, 1, 4, 2], [2, 4, 1, 3]):
         assert one(spark, workloads.prefix_flips(F.array(*map(F.lit, p)), 4)) == (plain(p),)
+
+
+def test_letters_order_and_pairs(spark):
+    a = F.array(*map(F.lit, (3, 1, 2)))
+    got = one(spark, text.ascii_lower(F.lit("ÀBc")), text.ascii_upper(F.lit("éb")), lists.in_order(a), lists.in_order(a, True), lists.enumerated(a, 1))
+    assert got[:4] == ("Àbc", "éB", [1, 2, 3], [3, 2, 1]) and [tuple(p) for p in got[4]] == [(1, 3), (2, 1), (3, 2)]
+    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    assert one(spark, lists.keys(m), lists.fold(lists.items(m), F.lit(0), lambda s, e: s + e["value"])) == (["a", "b"], 3)
+
+
+def test_cells_of_a_grid(spark):
+    g = Grid.filled(spark, 4, 5, 1.0).put_grid(slice(0, 4, 2), slice(1, 3), Grid.filled(spark, 2, 2, 7.0))
+    cells = {(r.i, r.j): r.v for r in g.df.collect()}
+    assert len(cells) == 20 and {k for k, v in cells.items() if v == 7.0} == {(0, 1), (0, 2), (2, 1), (2, 2)}
+    assert g.at(2, -3).first().v == 7.0 and g.at(1, 1).first().v == 1.0
+    less = g.zip(Grid.filled(spark, 4, 5, 5.0), lambda x, y: x < y)
+    assert less.df.where("v").count() == 16
+    one_, two = (sorted(tuple(r) for r in Grid.random(spark, 3, 3, 7).df.collect()) for _ in range(2))
+    assert one_ == two and all(0 <= v < 1 for _, _, v in one_)
+    for bad in (lambda: g.put_grid(slice(0, 2), slice(0, 2), g), lambda: g.zip(Grid.filled(spark, 1, 1, 0.0), lambda x, y: x)):
+        with pytest.raises(ValueError):
+            bad()
