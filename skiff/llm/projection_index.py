@@ -25,8 +25,9 @@ from skiff.llm.common import arrow_map, map_batches, materialize
 
 #: Directions, vectors to a leaf, vectors of a cell that one task holds, queries that one copy of them serves.
 DIRECTIONS, LEAF, PART, SERVED = 16, 64, 32768, 4096
-#: Vectors in the sample that the cells are cut by, and cells, over all lengths of vectors.
-SAMPLE, CELLS = 16384, 64
+#: Vectors in the sample that the cells are cut by, and the least and most cells, over all lengths of vectors; between
+#: them there is a cell for each PART vectors.
+SAMPLE, CELLS, MOST_CELLS = 16384, 64, 1024
 #: Cells a query has taken after each turn; the last turn takes all that are left.
 TURNS = (1, 8)
 
@@ -182,7 +183,8 @@ def build_index(embeddings: DataFrame, seed: int) -> tuple[DataFrame, DataFrame,
     rows = materialize(arrow_map(rows, project, "vec_id long, row long, dim int, v array<double>, p array<double>"), "vectors")
     # The sample: SAMPLE rows at most, projections only.
     sample = rows.select("dim", "p", F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(SAMPLE).select("dim", "p").toPandas()
-    trees = {int(dim): cut_cells(np.array(g["p"].to_list()), max(1, LEAF // 4, -(-len(sample) // CELLS)))[0] for dim, g in sample.groupby("dim")}
+    least = -(-len(sample) // min(MOST_CELLS, max(CELLS, rows.count() // PART)))
+    trees = {int(dim): cut_cells(np.array(g["p"].to_list()), max(LEAF // 4, least))[0] for dim, g in sample.groupby("dim")}
 
     def assign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         dims, out = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int32)
@@ -228,7 +230,7 @@ def build_index(embeddings: DataFrame, seed: int) -> tuple[DataFrame, DataFrame,
     index = materialize(map_batches(index, leaves, LEAVES), "leaves")
     cells: dict[int, list] = {}
     ends = [F.min(F.element_at("low", i + 1)).alias(f"low{i}") for i in range(DIRECTIONS)] + [F.max(F.element_at("high", i + 1)).alias(f"high{i}") for i in range(DIRECTIONS)]
-    for r in index.groupBy("dim", "cell").agg((F.max("sub") + 1).alias("parts"), *ends).collect():  # 2 * CELLS rows or so, and one for each rare length
+    for r in index.groupBy("dim", "cell").agg((F.max("sub") + 1).alias("parts"), *ends).collect():  # 2 * MOST_CELLS rows at most, and one for each rare length
         cells.setdefault(r["dim"], []).append((r["cell"], r["parts"], [r[f"low{i}"] for i in range(DIRECTIONS)], [r[f"high{i}"] for i in range(DIRECTIONS)]))
     return rows, index, cells
 
