@@ -28,6 +28,8 @@ DIRECTIONS, LEAF, PART, SERVED = 16, 64, 32768, 4096
 #: Vectors in the sample that the cells are cut by, and the least and most cells, over all lengths of vectors; between
 #: them there is a cell for each PART vectors.
 SAMPLE, CELLS, MOST_CELLS = 16384, 64, 1024
+#: Rows of a table of cells that may be broadcast.
+FEW = 100_000
 #: Cells a query has taken after each turn; the last turn takes all that are left.
 TURNS = (1, 8)
 
@@ -194,10 +196,11 @@ def build_index(embeddings: DataFrame, seed: int) -> tuple[DataFrame, DataFrame,
         yield batch.append_column("cell", pa.array(out))
 
     celled = arrow_map(rows, assign, "vec_id long, row long, dim int, v array<double>, p array<double>, cell int")
-    # A row for each cell; a cell of any size is dealt in parts of about PART vectors.
-    sizes = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    # A row for each cell, so few but for tables of very many lengths; a cell of any size is dealt in parts of about PART vectors.
+    sizes = materialize(celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
     parts = F.ceil(F.col("n") / PART)
-    dealt = celled.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), parts).cast("int"))
+    dealt = celled.join(sizes, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), parts).cast("int"))
     keys = ["dim", "cell", "sub"]
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
