@@ -183,9 +183,11 @@ def build_index(embeddings: DataFrame, seed: int) -> tuple[DataFrame, DataFrame,
 
     # Numbered and written once: a row is told from others of its id by its number.
     rows = materialize(arrow_map(rows, project, "vec_id long, row long, dim int, v array<double>, p array<double>"), "vectors")
-    # The sample: SAMPLE rows at most, projections only.
-    sample = rows.select("dim", "p", F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(SAMPLE).select("dim", "p").toPandas()
-    least = -(-len(sample) // min(MOST_CELLS, max(CELLS, rows.count() // PART)))
+    # The sample: about SAMPLE rows by a hash of their number, or all of fewer; projections only.
+    count = rows.count()
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < (SAMPLE << 40) // max(1, count)
+    sample = rows.where(share).select("dim", "p").orderBy("dim", "p").toPandas()
+    least = -(-len(sample) // min(MOST_CELLS, max(CELLS, count // PART)))
     trees = {int(dim): cut_cells(np.array(g["p"].to_list()), max(LEAF // 4, least))[0] for dim, g in sample.groupby("dim")}
 
     def assign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
