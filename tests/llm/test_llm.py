@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tests_llm_shared import WORD, brute_components, brute_cut, plain_counts, plain_quality, plain_toxicity
 
 from skiff.llm import best_fit_packing, jaccard_join, label_sharding, projection_index, quality_rules, rule_classifier, segment_bpe, suffix_dedup, suffix_sort, toxicity, warc_bundles
-from skiff.llm.common import training_rows
+from skiff.llm.common import BATCH_BYTES, arrow_map, shared_dir, training_rows
 from skiff.llm.queries import tokenizer
 from skiff.llm.textkit import Words, utf8
 
@@ -499,3 +500,24 @@ def test_training_rows_are_bounded_and_filled(spark):
         got = training_rows(docs, labels, "toxic", bound).collect()
         assert len(got) == len({r["_id"] for r in got}) == min(bound, len(usable)) and {r["_id"] for r in got} <= usable
     assert 7 not in usable or [r["text"] for r in got if r["_id"] == 7] == ["copy 0"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder=None):
+        known = {"spark.master": master, "spark.checkpoint.dir": folder}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: known.get(k) or d))
+
+    assert shared_dir(session("local")).startswith("file://") and shared_dir(session("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("spark://h:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+
+    def sizes(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    got = [r.n for r in arrow_map(docs, sizes, "n long").collect()]
+    assert sum(got) >= 400 * 100_000 and max(got) < 2 * BATCH_BYTES
