@@ -1,9 +1,11 @@
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from skiff.operators.frame import Frame, Literal
+from skiff.operators.position import shared_path
 from skiff.plans.values import NotRecordable, choose
 from skiff.sources import io
 
@@ -184,3 +186,14 @@ def test_texts_are_summed_in_order(spark):
     f = Frame(spark.createDataFrame(rows[::-1], "k long, s string").repartition(5), order=[("k", True)])
     assert f["s"].sum().first()[0] == "".join(x for _, x in rows if x)
     assert f[f["k"] < 0]["s"].sum().first()[0] == ""
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder=None):
+        known = {"spark.master": master, "spark.checkpoint.dir": folder}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: known.get(k) or d))
+
+    assert shared_path(session("local[4]"), "x").startswith("file://") and shared_path(session("yarn", "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    for master in ("spark://h:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_path(session(master), "x")
