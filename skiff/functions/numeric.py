@@ -32,9 +32,9 @@ def python_mod(a: Column, b: Column | int) -> Column:
 
 
 def float_div(a: Column, b: Column) -> Column:
-    """IEEE division: x/0 is an infinity, 0/0 is NaN."""
+    """IEEE division: x/0 is an infinity, 0/0 is NaN, and NULL where a or b is."""
     a, b = a.cast("double"), b.cast("double")
-    zero = F.when((a == 0) | F.isnan(a), NAN).when(a > 0, INF).otherwise(-INF)
+    zero = F.when((a == 0) | F.isnan(a), NAN).when(a > 0, INF).when(a < 0, -INF)
     return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 

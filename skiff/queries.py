@@ -321,7 +321,8 @@ def int_ops(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN CAST('inf' AS DOUBLE) ELSE l_quantity / l_discount END AS d, l_tax * l_tax AS p, l_quantity % 4 AS m FROM lineitem")
 def float_ops(spark, d):
-    q = numeric.float_div(F.col("l_quantity"), F.col("l_discount"))
+    # The SQL takes every quantity without a discount as infinite, also 0, negative ones and NULL.
+    q = F.when(F.col("l_discount") == 0, numeric.INF).otherwise(numeric.float_div(F.col("l_quantity"), F.col("l_discount")))
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("d"), numeric.power(F.col("l_tax"), 2).alias("p"), (F.col("l_quantity") % 4).alias("m"))
 
 

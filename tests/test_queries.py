@@ -41,6 +41,16 @@ def test_query(spark, con, name):
     assert table(df.columns, rows) == table([d[0] for d in want.description], want.fetchall())
 
 
+def test_float_ops_on_odd_rows(spark, tmp_path):
+    of = "unnest(['7', '-7', '0', '-0', NULL, 'nan', 'inf']::DOUBLE[])"
+    odd = f"SELECT 1::BIGINT AS l_orderkey, 1::INTEGER AS l_linenumber, a AS l_quantity, b AS l_discount, b AS l_tax FROM (SELECT {of} AS a), (SELECT {of} AS b) WHERE a IS NULL OR abs(a) < 8"
+    c = duckdb.connect()
+    c.sql(f"COPY ({odd}) TO '{tmp_path}/lineitem.parquet'")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    df, want = queries.queries()["float_ops"](spark, str(tmp_path)), c.sql(queries.oracle_sql()["float_ops"])
+    assert table(df.columns, df.collect()) == table(want.columns, want.fetchall())
+
+
 def test_plans(spark):
     q = queries.queries()
 
