@@ -17,11 +17,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from math import ceil
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skiff.llm.common import arrow_map, map_batches, materialize
@@ -29,6 +31,8 @@ from skiff.llm.textkit import Words, shingles, slices, utf8
 
 #: Counters of the word frequency sketch, and the parts in which tasks hand it on.
 BUCKETS, PARTS = 1 << 18, 32
+#: 64-bit words of the bitmap that rows carry into the joins on a shingle.
+SHORT = 16
 
 
 def word_frequency(docs: DataFrame) -> np.ndarray:
@@ -108,7 +112,8 @@ def parity(u: np.ndarray, words: int = 0) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-SKETCH = "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>, bits array<long>, s0 long, s1 long, s2 long, s3 long"
+SIGNS = [f"s{i}" for i in range(SHORT)]
+SKETCH = "doc_id long, text_key long, n long, fp binary, gid long, prefix array<long>, bits array<long>, " + ", ".join(f"{s} long" for s in SIGNS)
 
 
 def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFrame:
@@ -124,11 +129,11 @@ def sketches(docs: DataFrame, k: int, t: Fraction, cost: np.ndarray) -> DataFram
             prefix.append(best)
             gid.append(int.from_bytes(hashlib.blake2b(best.tobytes(), digest_size=8, salt=len(u).to_bytes(8, "big")).digest(), "big", signed=True))
             bits.append(parity(u))
-            short.append(parity(u, 4))
-        four = np.array(short, np.int64).reshape(-1, 4)
+            short.append(parity(u, SHORT))
+        signs = np.array(short, np.int64).reshape(-1, SHORT)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs), *(pa.array(four[:, i]) for i in range(4))],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs), *(pa.array(signs[:, i]) for i in range(SHORT))],
             [x.split()[0] for x in SKETCH.split(", ")],
         )
 
@@ -196,6 +201,12 @@ def _may_link(pairs: DataFrame, t: Fraction) -> DataFrame:
     return pairs.where(sizes).where(near)
 
 
+def _meetings(x: DataFrame, y: DataFrame, close: Column) -> DataFrame:
+    """Pairs of groups on one shingle, but for those that meet on one and the same shingle just before it as well."""
+    met = F.coalesce(F.col("x_prev") == F.col("y_prev"), F.lit(False))
+    return x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & ~met & close)
+
+
 #: Further passes from other pivots before all pairs that are left.
 TURNS = 2
 #: Documents to verify that may be broadcast as keys; more are joined by shuffle.
@@ -224,7 +235,7 @@ def _components(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     classes = materialize(
         found.where("n > 0")
         .groupBy("fp")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]),
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("bits").alias("bits"), *[F.min(s).alias(s) for s in SIGNS]),
         "classes",
     )
     comps = _class_components(docs, found, classes, k, t)
@@ -270,21 +281,26 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
     num, den = t.numerator, t.denominator
     tokens = found.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
     shared = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("top")).where("low != top").select("token")
-    member = classes.select("gid", "fp", "n", "bits", "s0", "s1", "s2", "s3")
+    member = classes.select("gid", "fp", "n", "bits", *SIGNS)
     # One member of each group speaks for it in the first pass; short bitmaps only for groups of one.
     groups = materialize(
-        member.groupBy("gid").agg(F.min(F.struct("fp", "n", "bits")).alias("rep"), F.count(F.lit(1)).alias("c"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]), "groups"
+        member.groupBy("gid").agg(F.min(F.struct("fp", "n", "bits")).alias("rep"), F.count(F.lit(1)).alias("c"), *[F.min(s).alias(s) for s in SIGNS]), "groups"
     )
     # Prefix shingles that two groups at least have. A group with many of them, and with common ones, is
     # near the middle of its cluster, where few own changes come before what all share: a good pivot.
     meet = tokens.join(shared, "token", "left_semi").groupBy("token", "gid").agg(F.min("at").alias("at"))
-    meet = materialize(meet.select("token", "gid", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("pos")), "shared")
+    meet = meet.select("token", "gid", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("pos"))
+    # Pairs of groups that have one and the same shared shingle before this one meet there already, at places that
+    # allow no less. So shingles that come after one other shingle in all their groups bring no pair and drop out.
+    meet = materialize(meet.withColumn("prev", F.lag("token").over(Window.partitionBy("gid").orderBy("pos"))), "prefixes")
+    leads = meet.groupBy("token").agg(F.count_if(F.col("prev").isNull()).alias("firsts"), F.min("prev").alias("a"), F.max("prev").alias("z"))
+    meet = materialize(meet.join(leads.where("firsts > 0 or a != z").select("token"), "token", "left_semi"), "shared")
     weight = meet.join(meet.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token").groupBy("gid").agg(F.sum("c").alias("weight"))
-    sig = groups.select("gid", (F.col("c") == 1).alias("solo"), "s0", "s1", "s2", "s3").join(weight, "gid")
+    sig = groups.select("gid", (F.col("c") == 1).alias("solo"), *SIGNS).join(weight, "gid")
     meet = materialize(meet.join(sig, "gid"), "meeting")
 
     def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        cols = ("gid", "n", "pos", "solo", "s0", "s1", "s2", "s3", *more)
+        cols = ("gid", "n", "pos", "solo", *SIGNS, *more)
         return tuple(df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "xy")
 
     def fields(side: str, of: DataFrame, gid: str, *more: str) -> DataFrame:
@@ -293,7 +309,7 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
     # Sizes, places (if the shingle there is the first common one) and short bitmaps that allow similarity t.
     x_n, y_n = F.col("x_n"), F.col("y_n")
     most = F.least(x_n - F.col("x_pos"), y_n - F.col("y_pos"))
-    differ = sum((F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    differ = reduce(add, [F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in SIGNS])
     close = (
         (x_n * den >= y_n * num) & (y_n * den >= x_n * num) & (most * (den + num) >= (x_n + y_n) * num)
         & (~F.col("x_solo") | ~F.col("y_solo") | ((x_n + y_n - differ) * (num + den) >= (x_n + y_n) * 2 * num))
@@ -349,9 +365,9 @@ def _class_components(docs: DataFrame, found: DataFrame, classes: DataFrame, k:
         comps = connected_components(known.union(more))
 
     # Last, every pair of groups of one shingle, and of members of one group, that is still across.
-    x, y = sides(left_over, "lo", "hi")
+    x, y = sides(left_over, "prev", "lo", "hi")
     one = (F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo"))
-    crossing = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & ~one & close).select("x_gid", "y_gid").distinct()
+    crossing = _meetings(x, y, ~one & close).select("x_gid", "y_gid").distinct()
     outer = crossing.join(fields("a", label, "x_gid", "comp"), "x_gid").join(fields("b", label, "y_gid", "comp"), "y_gid").where("comp_a != comp_b")
     within = label.join(span.where("lo != hi").select("gid"), "gid", "left_semi")
     within = fields("a", within, "_gid", "comp").join(fields("b", within, "_gid", "comp"), "_gid").where("a < b and comp_a != comp_b")

@@ -70,6 +70,23 @@ def test_jaccard(spark, monkeypatch, k, t, turns):
     assert got == brute_components(rows, k, Fraction(t))
 
 
+@pytest.mark.parametrize("shared,own,most", [(1840, 260, 66), (336, 60, 66)])
+def test_texts_around_one_passage_meet_once(spark, monkeypatch, shared, own, most):
+    # Twelve texts, 66 pairs of no link, that share their prefixes: what they have of their own is of common words.
+    r, passage = random.Random(2), " ".join(f"p{i}" for i in range(shared))
+    rows = [(d, passage + "".join(f" c{r.randrange(9)}" for _ in range(own + d))) for d in range(12)]
+    made, distinct = [], type(documents(spark, [])).distinct
+
+    def spy(df):
+        if df.columns == ["x_gid", "y_gid"]:
+            made.append(df.count())
+        return distinct(df)
+
+    monkeypatch.setattr(type(documents(spark, [])), "distinct", spy)
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(documents(spark, rows), 5, "0.8").collect()), key=str)
+    assert got == brute_components(rows, 5, Fraction("0.8")) and made[-1] <= most
+
+
 def test_bitmaps_of_any_ratio_rule_out_no_link(spark):
     # 32 of 65 hashes in the third of four words; all but one of the others in the first.
     small = np.arange(128, 160)
